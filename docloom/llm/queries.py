@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm.language_id import identify
+from docloom.llm.packing import pack
+from docloom.llm.quality import classify
 from docloom.llm.secret_scan import scan_secrets
 from docloom.llm.sharding import assign_shards
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(_docs(spark, sf_dir))
+    return scan_secrets(_table(spark, sf_dir))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(_docs(spark, sf_dir), 40)
+    return assign_shards(_table(spark, sf_dir), 40)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op7_sharding)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_packing, op7_sharding, op8_quality, op9_language)}
 
 ORACLE_SQL: dict[str, str] = {}
