@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.llm.decontaminate import find_leaks
 from docloom.llm.language_id import identify
 from docloom.llm.packing import pack
 from docloom.llm.quality import classify
@@ -36,6 +37,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_packing, op7_sharding, op8_quality, op9_language)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_packing, op7_sharding, op8_quality, op9_language, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
