@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.decontaminate import find_leaks
 from docloom.llm.language_id import identify
+from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.packing import pack
 from docloom.llm.quality import classify
 from docloom.llm.secret_scan import scan_secrets
@@ -25,6 +26,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir), width=2)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir), 40)
 
@@ -41,6 +46,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_packing, op7_sharding, op8_quality, op9_language, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_packing, op5_near_dedup, op7_sharding, op8_quality, op9_language, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
