@@ -28,9 +28,11 @@ def link(spark: SparkSession, scratch: Scratch, postings: DataFrame, verify: Cal
     candidates. Groups of one token are only met in aggregations with map-side combine and in joins that adaptive
     execution can split.
     """
-    first = postings.groupBy("token").agg(F.min("node").alias("centre"), F.max("node").alias("_last")).where("centre != _last").select("token", "centre")
+    first = postings.groupBy("token").agg(
+        F.min("node").alias("centre"), F.max("node").alias("_last"), F.min_by("size", "node").alias("_size"), F.min_by("bits", "node").alias("_bits")
+    ).where("centre != _last").drop("_last")
     shared = scratch.save(postings.join(first, "token"))
-    star = shared.where("node != centre").groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    star = shared.where((F.col("node") != F.col("centre")) & may_link(F.col("size"), F.col("bits"), F.col("_size"), F.col("_bits"))).groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     best = star.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("_r = 1").select("a", "b")
     links = scratch.save(verify(best))
     component = scratch.save(connected_components(spark, links, scratch))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.decontaminate import find_leaks
 from docloom.llm.language_id import identify
+from docloom.llm.line_dedup import dedup_lines
 from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.packing import pack
 from docloom.llm.quality import classify
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir))
 
@@ -46,6 +51,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_packing, op5_near_dedup, op7_sharding, op8_quality, op9_language, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_packing, op5_near_dedup, op7_sharding, op8_quality, op9_language, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
