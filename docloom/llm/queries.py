@@ -13,6 +13,7 @@ from docloom.llm.packing import pack
 from docloom.llm.quality import classify
 from docloom.llm.secret_scan import scan_secrets
 from docloom.llm.sharding import assign_shards
+from docloom.llm.substring_dedup import repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -31,6 +32,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(_table(spark, sf_dir))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir), width=2)
 
@@ -51,6 +56,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_packing, op5_near_dedup, op7_sharding, op8_quality, op9_language, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_packing, op4_substring_dedup, op5_near_dedup, op7_sharding, op8_quality, op9_language, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
