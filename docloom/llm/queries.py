@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.decontaminate import find_leaks
+from docloom.llm.embedding_dedup import near_vectors
 from docloom.llm.language_id import identify
 from docloom.llm.line_dedup import dedup_lines
 from docloom.llm.near_dedup import near_duplicates
@@ -40,6 +41,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir), width=2)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir), 40)
 
@@ -56,6 +61,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_packing, op4_substring_dedup, op5_near_dedup, op7_sharding, op8_quality, op9_language, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_packing, op4_substring_dedup, op5_near_dedup, op6_embedding_dedup, op7_sharding, op8_quality, op9_language, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
