@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -12,15 +15,18 @@ from pyspark.sql import functions as F
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SEQUENCES = PIECES + ", sequence_id long, offset long"
-#: Characters handed to the tokenizer at once, and distinct words kept by a Python worker.
-CHUNK, KEPT_WORDS = 1_000_000, 300_000
+#: Characters tokenized at once, and distinct words kept by a Python worker (about 200 bytes each).
+CHUNK, KEPT_WORDS = 1_000_000, 800_000
+#: What the tokenizer's own pattern finds in lower-cased printable ASCII without blanks.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class WordIds(dict):
     """Whitespace-separated word -> its ids as little-endian 32-bit bytes.
 
     The tokenizer drops white space, and no rule of it reaches across, so a text's ids are those of its words in
-    order; each distinct word is encoded once per worker. Long words are not kept, and the table is emptied when full.
+    order; each distinct word is encoded once per worker. Printable ASCII words go to the tokenizer's model piece by
+    piece, all others through its whole chain. Long words are not kept, and the table is emptied when full.
     """
 
     def __init__(self, path: str):
@@ -29,6 +35,22 @@ class WordIds(dict):
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+
+    def _ascii(self, word: str) -> bytes:
+        out = []
+        for piece in _ASCII.findall(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                found = [t.id for t in self.model.tokenize(piece)]
+                ids = struct.pack(f"<{len(found)}I", *found)
+                if len(piece) <= 6:
+                    if len(self.pieces) > 100_000:
+                        self.pieces.clear()
+                    self.pieces[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -40,10 +62,17 @@ class WordIds(dict):
             self.clear()
             self[""] = b""
             new = [w for w in words if w]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        rest = []
+        for w in new:
+            if w.isascii() and w.isprintable() and "<|" not in w:
+                self[w] = self._ascii(w)
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(e.ids)] if len(e.ids) else b""
+                found = e.ids
+                self[w] = struct.pack(f"<{len(found)}I", *found)
         get = self.__getitem__
         out = [b"".join(map(get, x)) for x in split]
         for w in [w for w in new if len(w) > 64]:
@@ -51,12 +80,17 @@ class WordIds(dict):
         return out
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One table per worker process, kept between its tasks."""
+    return WordIds(path)
+
+
 def _pieces(tokenizer_path: str, end_id: int, size: int):
     def run(batches):
-        table = None
+        table = word_ids(tokenizer_path)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            table = table or WordIds(tokenizer_path)
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             at = 0
             while at < len(ids):
@@ -135,9 +169,8 @@ def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, size: int
     """(sequence_id, doc_id, offset, ids): the pieces of ``packed`` with their token ids, for writers. Ids must be unique."""
 
     def run(batches):
-        table = None
+        table = word_ids(tokenizer_path)
         for batch in batches:
-            table = table or WordIds(tokenizer_path)
             rows = batch.to_pylist()
             out = []
             for r in rows:
