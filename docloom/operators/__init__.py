@@ -1 +1 @@
-
+"""Table operators: chunking and evaluation."""

@@ -1 +1 @@
-
+"""Plans: configuration and the document pipeline."""

@@ -1 +1 @@
-
+"""Sources, parsers and sinks."""
