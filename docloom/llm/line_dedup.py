@@ -10,6 +10,8 @@ merge before anything is shuffled, and texts are not shuffled for it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,14 @@ SHINGLE, BINS, BAND = 8, 14, 2
 #: Of a long line only the smallest hashes, about so many, can hold a minimum; larger ones are not looked at. The cut
 #: is on the hash, so lines of any length agree on it.
 KEPT_PER_BIN = 12
-#: Bins in which two linked lines agree at least (four bits of each are compared).
-LEAST_BINS = 5
+#: Of the bins that either of two linked lines fills, so many agree at least, for 0 to ``BINS`` such bins: four deviations below the mean.
+LEAST_BINS = [max(0, math.floor(u * 0.8 - 4 * math.sqrt(u * 0.8 * 0.2))) for u in range(BINS + 1)]
 #: Rows that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 BLANK = " \t\r\x0b\x0c"
-_NIBBLES = sum(1 << (4 * i) for i in range(BINS))
+#: Eight bits of each minimum, in two words of seven bytes; the top byte of either says which bins are filled.
+_HALF = BINS // 2
+_ONES = sum(1 << (8 * i) for i in range(_HALF))
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -37,11 +41,28 @@ def _units(line: Column) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once: a lambda variable is not substituted into the loops that use it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _shingle_hashes(line: Column) -> Column:
     """Distinct shingle hashes of a line; a shorter line is one shingle."""
-    units = _units(line)
-    last = F.greatest(F.floor(F.length(units) / 2).cast("int") - SHINGLE, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(units, i * 2 + 1, F.lit(2 * SHINGLE)))))
+
+    def of(units: Column) -> Column:
+        last = F.greatest(F.floor(F.length(units) / 2).cast("int") - SHINGLE, F.lit(0))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(units, i * 2 + 1, F.lit(2 * SHINGLE)))))
+
+    return _once(_units(line), of)
+
+
+def _similar(a: Column, b: Column, percent: int) -> Column:
+    """Whether the Jaccard similarity of two sets is ``percent`` / 100 or more."""
+
+    def sized(s: Column) -> Column:
+        return _once(F.size(F.array_intersect(s["a"], s["b"])), lambda both: 100 * both >= percent * (F.size(s["a"]) + F.size(s["b"]) - both))
+
+    return _once(F.struct(a.alias("a"), b.alias("b")), sized)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,19 +80,44 @@ def _postings(lines: DataFrame) -> DataFrame:
     hashed = one.select("node", "cut", F.xxhash64(F.substring("u", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("h")).where("h <= cut")
     binned = hashed.select("node", "h", F.pmod("h", F.lit(BINS)).cast("int").alias("bin"))
     low = binned.groupBy("node").agg(*[F.min(F.when(F.col("bin") == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)])
-    bits = F.lit(0).cast("bigint")
-    for j in range(BINS):
-        bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.coalesce(F.col(f"m{j}"), F.lit(0)), 5).bitwiseAND(F.lit(15)), 4 * j))
+    sketch = [_sketch(range(h, h + _HALF)) for h in (0, _HALF)]
     bands = F.array(*[
         F.when(F.coalesce(*[F.col(f"m{j}") for j in range(b, b + BAND)]).isNotNull(), F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in range(b, b + BAND)]))
         for b in range(0, BINS, BAND)])
-    return low.select("node", F.lit(0).cast("bigint").alias("size"), bits.alias("bits"), F.explode(bands).alias("token")).where("token is not null").select("token", "node", "size", "bits")
+    return low.select("node", sketch[0].alias("size"), sketch[1].alias("bits"), F.explode(bands).alias("token")).where("token is not null").select("token", "node", "size", "bits")
+
+
+def _sketch(bins: range) -> Column:
+    out = F.lit(0).cast("bigint")
+    for i, j in enumerate(bins):
+        m = F.col(f"m{j}")
+        byte = F.shiftleft(F.shiftrightunsigned(m, 5).bitwiseAND(F.lit(255)), 8 * i).bitwiseOR(F.lit(1 << (56 + i)))
+        out = out.bitwiseOR(F.coalesce(byte, F.lit(0)))
+    return out
+
+
+def _agree(a: Column, b: Column) -> tuple[Column, Column]:
+    """Bins that both fill with equal bytes, and bins that either fills, of one word of the sketches."""
+    x = a.bitwiseXOR(b)
+    for s in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, s).bitwiseAND(F.lit(_ONES * ((1 << (8 - s)) - 1))))
+    differ = x.bitwiseAND(F.lit(_ONES))
+    # one bit per bin, at the foot of its byte, from the top byte's bits
+    filled = lambda m: _either([F.shiftleft(F.shiftrightunsigned(m, 56 + i).bitwiseAND(F.lit(1)), 8 * i) for i in range(_HALF)])
+    both, either = filled(a.bitwiseAND(b)), filled(a.bitwiseOR(b))
+    return F.bit_count(both.bitwiseAND(F.bitwise_not(differ))), F.bit_count(either)
+
+
+def _either(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.bitwiseOR(p)
+    return out
 
 
 def _may_link(sa: Column, ba: Column, sb: Column, bb: Column) -> Column:
-    x = ba.bitwiseXOR(bb)
-    y = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-    return F.bit_count(y.bitwiseAND(F.lit(_NIBBLES))) <= BINS - LEAST_BINS
+    (e1, u1), (e2, u2) = _agree(sa, sb), _agree(ba, bb)
+    return e1 + e2 >= F.element_at(F.array(*[F.lit(x) for x in LEAST_BINS]), u1 + u2 + 1)
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,11 +134,13 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
         ends = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         texts = scratch.save(lines.select("node", "line").join(_small(ends), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")))
         ends = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-        sets = ends.select("a", "b", _shingle_hashes(F.col("la")).alias("sa"), _shingle_hashes(F.col("lb")).alias("sb"))
-        sized = sets.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-        return sized.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+        return ends.where(_similar(_shingle_hashes(F.col("la")), _shingle_hashes(F.col("lb")), percent)).select("a", "b")
+
+    def shingles(some: DataFrame) -> DataFrame:
+        texts = lines.select("node", "line").join(_small(scratch.save(some)), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+        return texts.select("node", F.explode(_shingle_hashes(F.col("line"))).alias("h"))
 
-    linked = link(spark, scratch, _postings(lines), verify, _may_link)
+    linked = link(spark, scratch, _postings(lines), verify, _may_link, shingles, percent)
     spots = scratch.save(lines.select("doc_id", "th", "pos", "node"))
     often = spots.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     groups = scratch.save(often.join(linked, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component")))

@@ -13,45 +13,76 @@ from pyspark.sql import functions as F
 from docloom.llm.common import Scratch, connected_components
 
 
-def link(spark: SparkSession, scratch: Scratch, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+def link(
+    spark: SparkSession, scratch: Scratch, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column, Column, Column], Column],
+    shingles: Callable[[DataFrame], DataFrame], percent: int, star_rounds: int = 2,
+) -> DataFrame:
     """(node, component) of all nodes that have a verified link.
 
     ``postings``: token, node, size, bits (bigint), one row per token of a node. Two nodes are candidates when they share a token
-    and ``may_link(size, bits, size, bits)``. ``verify`` takes distinct candidates (a, b) and returns the true links among them.
+    and ``may_link(size, bits, size, bits)``. ``verify`` takes distinct candidates (a, b) and returns the true links among them,
+    those whose shingle sets have a Jaccard similarity of ``percent`` / 100. ``shingles`` takes nodes (node) and returns (node, h).
 
     1. Stars: each node is verified against one node only, the smallest node of a token group it shares most
        tokens with. The links give first components; large groups of near copies are mostly one component after it.
-    2. Crossings: every candidate pair whose nodes are still in different components is verified. In each token
-       group only the rows outside the group's largest component are joined with the group.
+    2. More stars: in each token group, the nodes outside the group's largest component are verified against one node
+       of that component, another one for every token and round.
+    3. Crossings: every candidate pair whose nodes are still in different components is verified, but for pairs that an
+       exact bound rules out: a link needs a share of shingles in common, and a shingle that no other node left has
+       is common to no pair. In each token group only the rows outside the group's largest component are joined with the group.
 
-    A candidate that is never verified has both ends in one component already, so the components are those of all
-    candidates. Groups of one token are only met in aggregations with map-side combine and in joins that adaptive
+    A candidate that is never verified has both ends in one component already, or is no link, so the components are
+    those of all candidates. Groups of one token are only met in aggregations with map-side combine and in joins that adaptive
     execution can split.
     """
-    first = postings.groupBy("token").agg(
-        F.min("node").alias("centre"), F.max("node").alias("_last"), F.min_by("size", "node").alias("_size"), F.min_by("bits", "node").alias("_bits")
-    ).where("centre != _last").drop("_last")
-    shared = scratch.save(postings.join(first, "token"))
-    star = shared.where((F.col("node") != F.col("centre")) & may_link(F.col("size"), F.col("bits"), F.col("_size"), F.col("_bits"))).groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    shared = scratch.save(postings.join(often, "token"))
+    first = shared.groupBy("token").agg(F.min("node").alias("centre"), F.min_by("size", "node").alias("_size"), F.min_by("bits", "node").alias("_bits"))
+    star = shared.join(first, "token").where((F.col("node") != F.col("centre")) & may_link(F.col("size"), F.col("bits"), F.col("_size"), F.col("_bits")))
+    star = star.groupBy(F.col("node").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     best = star.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("_r = 1").select("a", "b")
     links = scratch.save(verify(best))
     component = scratch.save(connected_components(spark, links, scratch))
 
-    labelled = shared.join(component, "node", "left").select("token", "node", "size", "bits", F.coalesce("component", "node").alias("comp"))
-    labelled = scratch.save(labelled)
-    parts = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    groups = parts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("top.comp").alias("main"))
-    mixed = scratch.save(labelled.join(groups, "token"))
-    scratch.drop(labelled, shared)
-    a = mixed.where("comp != main").select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"), F.col("comp").alias("ca"))
-    b = mixed.select("token", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"), F.col("comp").alias("cb"), "main")
+    for r in range(star_rounds):
+        mixed = scratch.save(_mixed(shared, component, r))
+        near = mixed.where((F.col("comp") != F.col("main")) & may_link(F.col("size"), F.col("bits"), F.col("_size"), F.col("_bits")))
+        more = scratch.save(verify(near.select(F.least("node", "pick").alias("a"), F.greatest("node", "pick").alias("b")).distinct()))
+        scratch.drop(mixed)
+        if not more.isEmpty():
+            component = _merged(spark, component, more, scratch)
+    mixed = scratch.save(_mixed(shared, component, star_rounds))
+    scratch.drop(shared)
+    bound = scratch.save(_bounds(shingles(mixed.select("node").distinct()), percent))
+    mixed = mixed.join(bound, "node")
+    a = mixed.where("comp != main").select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"), F.col("comp").alias("ca"), F.col("all").alias("na"), F.col("common").alias("ma"))
+    b = mixed.select("token", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"), F.col("comp").alias("cb"), F.col("all").alias("nb"), F.col("common").alias("mb"), "main")
+    fits = (100 + percent) * F.least("ma", "mb", "na", "nb") >= percent * (F.col("na") + F.col("nb"))
     crossing = (
-        a.join(b, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & may_link(F.col("sa"), F.col("ba"), F.col("sb"), F.col("bb")))
+        a.join(b, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & fits & may_link(F.col("sa"), F.col("ba"), F.col("sb"), F.col("bb")))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     more = scratch.save(verify(crossing))
-    scratch.drop(mixed)
-    if more.isEmpty():
-        return component
-    joined = component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    return scratch.save(connected_components(spark, joined, scratch))
+    return component if more.isEmpty() else _merged(spark, component, more, scratch)
+
+
+def _bounds(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, all, common): a node's shingles, and those that another of the nodes has too. Nodes that can link with none are left out."""
+    df = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    common = rows.join(df, "h").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("all")).join(common, "node").where(100 * F.col("common") >= percent * F.col("all"))
+
+
+def _mixed(shared: DataFrame, component: DataFrame, r: int) -> DataFrame:
+    """The rows of tokens of several components, each with its component, the token's largest one, and a node of that."""
+    labelled = shared.join(component, "node", "left").select("token", "node", "size", "bits", F.coalesce("component", "node").alias("comp"))
+    order = F.xxhash64("token", "node", F.lit(r))
+    parts = labelled.groupBy("token", "comp").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("node", order).alias("pick"), F.min_by("size", order).alias("_size"), F.min_by("bits", order).alias("_bits"))
+    groups = parts.groupBy("token").agg(F.max(F.struct("n", "comp", "pick", "_size", "_bits")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return labelled.join(groups.select("token", F.col("top.comp").alias("main"), "top.pick", "top._size", "top._bits"), "token")
+
+
+def _merged(spark: SparkSession, component: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    known = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return scratch.save(connected_components(spark, known.unionByName(links.select("a", "b")), scratch))

@@ -108,6 +108,13 @@ def _sets(width: int):
     return run
 
 
+def _rows(batches):
+    for batch in batches:
+        for cls, found in zip(batch.column("cls").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            h = np.frombuffer(found, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), cls)), pa.array(h)], ["node", "h"])
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
@@ -168,7 +175,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     def may_link(sa, ba, sb, bb):
         return (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb)) & (F.bit_count(ba.bitwiseXOR(bb)) <= COORDS - SKETCH_BITS)
 
-    linked = link(spark, scratch, postings, verify, may_link)
+    def shingles(some: DataFrame) -> DataFrame:
+        return sets.join(some.withColumnRenamed("node", "cls"), "cls", "left_semi").mapInArrow(_rows, "node long, h long").distinct()
+
+    linked = link(spark, scratch, postings, verify, may_link, shingles, percent)
     root = classes.join(linked, F.col("cls") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "cls").alias("root"))
     rows = signed.select("doc_id", "n", "k1", "k2").join(root, ["k1", "k2"], "left").withColumn("root", F.when(F.col("n") > 0, F.col("root")))
     rows = scratch.save(rows.select("doc_id", "n", "root"))

@@ -25,8 +25,8 @@ from docloom.llm.common import Scratch
 from docloom.llm.near_dedup import ByteWords
 
 ROUNDS, LEAST_WORDS = 4, 4
-#: Documents whose lists may be broadcast; more are shuffled.
-BROADCAST_ROWS = 200_000
+#: Elements, in all lists together, that may be broadcast; more are shuffled.
+BROADCAST_ITEMS = 2_000_000
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -196,10 +196,10 @@ def _cut(width: int, digest: bool):
                 words = (texts[i].as_py() or "").encode("utf-8", "surrogatepass").split()
                 n.append(len(words))
                 if gone[i].is_valid and len(words) >= width:
-                    starts = np.unique(np.asarray(gone[i].values))
+                    spans = np.asarray(gone[i].values).reshape(-1, 2)
                     change = np.zeros(len(words) + 1, np.int64)
-                    change[starts] += 1
-                    np.add.at(change, starts + width, -1)
+                    np.add.at(change, spans[:, 0], 1)
+                    np.add.at(change, np.minimum(spans[:, 1] + width, len(words)), -1)
                     left = np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()
                     words = [words[j] for j in left]
                 removed.append(n[-1] - len(words))
@@ -210,12 +210,25 @@ def _cut(width: int, digest: bool):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+def _small(lists: DataFrame, column: str) -> DataFrame:
+    """A hint to broadcast a table of lists if their elements are counted to be few."""
+    items = lists.agg(F.sum(F.size(column) + 2)).first()[0] or 0
+    return F.broadcast(lists) if items <= BROADCAST_ITEMS else lists.hint("shuffle_hash")
+
+
+def _spans(batches):
+    """Starts -> the spans of consecutive starts, as first and last in turn."""
+    for batch in batches:
+        out = []
+        for x in batch.column("starts"):
+            v = np.unique(np.asarray(x.values))
+            cut = np.flatnonzero(np.diff(v) > 1)
+            out.append(np.stack([v[np.append(0, cut + 1)], v[np.append(cut, len(v) - 1)]], 1).ravel())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "th", "gone"])
 
 
 def repeated_windows(base: DataFrame, scratch: Scratch, width: int) -> DataFrame:
-    """(doc_id, th, gone): starts of the windows of ``width`` words that also start in a document with a smaller id.
+    """(doc_id, th, gone): first and last starts of windows of ``width`` words that also start in a document with a smaller id.
 
     ``base`` has doc_id, th (hash of the text) and text.
     """
@@ -224,17 +237,18 @@ def repeated_windows(base: DataFrame, scratch: Scratch, width: int) -> DataFrame
     symbols = parsed.where("kind = 0").select("doc_id", "th", F.col("value").alias("name"))
     several = symbols.groupBy("name").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last").select("name")
     shared = symbols.join(several, "name").groupBy("doc_id", "th").agg(F.collect_list("name").alias("shared"))
-    shared = _small(scratch.save(shared)).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "shared")
+    shared = _small(scratch.save(shared), "shared").select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "shared")
     windows = scratch.save(base.join(shared, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("th").eqNullSafe(F.col("_h"))).select("doc_id", "th", "text", "shared").mapInArrow(_candidates(width), ROWS))
     windows = windows.unionByName(parsed.where("kind = 1"))
     earliest = windows.groupBy("value").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last").select("value", "first")
-    return scratch.save(windows.join(earliest, "value").where(F.col("first") < rank).groupBy("doc_id", "th").agg(F.collect_list("start").alias("gone")))
+    starts = windows.join(earliest, "value").where(F.col("first") < rank).groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"))
+    return scratch.save(starts.mapInArrow(_spans, "doc_id long, th long, gone array<bigint>"))
 
 
 def _cut_all(docs: DataFrame, width: int, id_col: str, text_col: str, digest: bool) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    gone = _small(repeated_windows(base, scratch, width)).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "gone")
+    gone = _small(repeated_windows(base, scratch, width), "gone").select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "gone")
     joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("th").eqNullSafe(F.col("_h")), "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(_cut(width, digest), "doc_id long, n_words long, n_removed long, kept string")
 
