@@ -72,12 +72,11 @@ def recompress(words: np.ndarray, rounds: int = ROUNDS) -> Symbols:
             first = np.flatnonzero(head)
             last = np.append(first[1:], len(name)) - 1
             count = last - first + 1
-            name = np.where(count > 1, _mix((name[first] ^ _C) + count.astype(np.uint64) * _A), name[first])
-            # a run depends on its symbols, and on the neighbours that end it
-            lo, hi = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
-            before, after = np.concatenate(([-1], lo[:-1])), np.concatenate((lo[1:], lo[-1:]))
-            before_hi, after_hi = np.concatenate((hi[:1], hi[:-1])), np.concatenate((hi[1:], [n + 1]))
-            lo, hi = np.minimum(lo, np.minimum(before, after)), np.maximum(hi, np.maximum(before_hi, after_hi))
+            m, name = len(name), np.where(count > 1, _mix((name[first] ^ _C) + count.astype(np.uint64) * _A), name[first])
+            # a run depends on its symbols, and on the one symbol at either side that ends it
+            before, after = np.maximum(first - 1, 0), np.minimum(last + 1, m - 1)
+            lo, hi = (np.minimum(np.minimum.reduceat(lo, first), np.minimum(np.where(first > 0, lo[before], -1), lo[after])),
+                      np.maximum(np.maximum.reduceat(hi, first), np.maximum(hi[before], np.where(last + 1 < m, hi[after], n + 1))))
             start, stop = start[first], stop[last]
 
             right = (_mix(name + np.uint64(r + 1) * _C) >> np.uint64(63)).astype(bool)
