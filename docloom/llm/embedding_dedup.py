@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from docloom.llm.common import Scratch, connected_components
 
-COUNT, CELL, BLOCK, SAMPLE = 2, 64, 1500, 2000
+COUNT, CELL, BLOCK = 2, 64, 1500
 
 
 def plan_rounds(n: int, least: float, recall: float) -> tuple[int, int]:
@@ -33,22 +33,21 @@ def plan_rounds(n: int, least: float, recall: float) -> tuple[int, int]:
 
 
 class Projections:
-    """Unit directions of every round (``bits`` for the cell, the last for the window), and where they are cut."""
+    """Unit directions of every round: ``bits`` for the cell, the last for the window.
+
+    The sides meet at the origin, so whether a pair is parted depends on its angle alone and not on where the other vectors lie.
+    """
 
     def __init__(self, dim: int, bits: int, rounds: int, least: float, seed: int = 11):
         g = np.random.Generator(np.random.PCG64([seed, dim])).standard_normal((dim, rounds * (bits + 1)))
         self.directions = g / np.linalg.norm(g, axis=0)
         self.bits, self.rounds = bits, rounds
-        self.cut = np.zeros(rounds * (bits + 1))
         self.half_width = 2 * math.sqrt(2 - 2 * least) / math.sqrt(dim)
 
-    def fit(self, units: np.ndarray) -> None:
-        self.cut = np.median(units @ self.directions, axis=0) if len(units) else self.cut
-
     def of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell of every round, and place along its window's direction."""
         at = (units @ self.directions).reshape(len(units), self.rounds, self.bits + 1)
-        side = at[:, :, :-1] > self.cut.reshape(self.rounds, self.bits + 1)[None, :, :-1]
+        side = at[:, :, :-1] > 0
         return side @ (np.int64(1) << np.arange(self.bits, dtype=np.int64)), at[:, :, -1]
 
 
@@ -108,7 +107,6 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, recall: float = 0.97, i
     Vectors with a cosine of ``least`` or more (in double precision) are linked if they collide often enough, which pairs at the threshold do
     with a probability of ``recall`` and nearer ones almost surely; no pair below it is linked. Equal vectors are one
     class with a weight before anything is compared. Cells that hold many vectors are met in pairs of blocks of bounded size.
-    The cuts of the projections are medians of a hashed sample of about ``SAMPLE`` vectors; all vectors are indexed.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing, and so do vectors of different
     lengths. A null id is kept as a row of its own, without links. Rows that repeat an id with the same vector count as
@@ -129,8 +127,6 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, recall: float = 0.97, i
     models = {}
     for dim, n in sizes.items():
         models[dim] = Projections(dim, *plan_rounds(n, least, recall), least)
-        some = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit("cut"), "vec"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / n) * (1 << 20)) + 1)).select("embedding").toPandas()
-        models[dim].fit(_units(some["embedding"]) if len(some) else np.empty((0, dim)))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def cells(embedding: pd.Series) -> pd.Series:
