@@ -71,15 +71,27 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.withColumn("line", F.trim("line", F.lit(BLANK))).where("line != ''").withColumn("node", F.xxhash64("line"))
 
 
-def _postings(lines: DataFrame) -> DataFrame:
-    """(token, node, size, bits) of every band of every distinct line."""
+def _minima(units: DataFrame, cut: Column) -> DataFrame:
+    """(node, n, m0 ...): the least hash up to ``cut`` in each bin of every distinct line; ``n`` counts its units."""
+    one = units.select("node", "u", "n", cut.alias("cut"), F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - SHINGLE, F.lit(0)))).alias("i"))
+    hashed = one.select("node", "n", "cut", "i", F.xxhash64(F.substring("u", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("h")).where("h <= cut or i = 0")
+    binned = hashed.select("node", "n", "h", F.when(F.col("h") <= F.col("cut"), F.pmod("h", F.lit(BINS))).cast("int").alias("bin"))
+    return binned.groupBy("node").agg(F.max("n").alias("n"), *[F.min(F.when(F.col("bin") == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)])
+
+
+def _postings(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(token, node, size, bits) of every band of every distinct line.
+
+    A long line of few distinct shingles may have too few hashes up to the cut: lines that leave a bin empty are done again without it.
+    """
     units = lines.select("node", _units(F.col("line")).alias("u")).withColumn("n", F.floor(F.length("u") / 2).cast("int"))
-    cut = F.when(F.col("n") <= BINS * KEPT_PER_BIN, F.lit((1 << 63) - 1)).otherwise(
-        (F.lit(float(-(1 << 63))) + F.lit(float(1 << 63)) * 2 * (BINS * KEPT_PER_BIN) / F.col("n")).cast("long"))
-    one = units.withColumn("cut", cut).select("node", "u", "cut", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - SHINGLE, F.lit(0)))).alias("i"))
-    hashed = one.select("node", "cut", F.xxhash64(F.substring("u", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("h")).where("h <= cut")
-    binned = hashed.select("node", "h", F.pmod("h", F.lit(BINS)).cast("int").alias("bin"))
-    low = binned.groupBy("node").agg(*[F.min(F.when(F.col("bin") == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)])
+    most = F.lit((1 << 63) - 1)
+    cut = F.when(F.col("n") <= BINS * KEPT_PER_BIN, most).otherwise((F.lit(float(-(1 << 63))) + F.lit(float(1 << 63)) * 2 * (BINS * KEPT_PER_BIN) / F.col("n")).cast("long"))
+    low = scratch.save(_minima(units, cut))
+    empty = (F.col("n") > BINS * KEPT_PER_BIN) & F.greatest(*[F.col(f"m{j}").isNull() for j in range(BINS)])
+    again = scratch.save(low.where(empty).select("node"))
+    if not again.isEmpty():
+        low = low.where(~empty).unionByName(_minima(units.join(_small(again), "node", "left_semi"), most))
     sketch = [_sketch(range(h, h + _HALF)) for h in (0, _HALF)]
     bands = F.array(*[
         F.when(F.coalesce(*[F.col(f"m{j}") for j in range(b, b + BAND)]).isNotNull(), F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in range(b, b + BAND)]))
@@ -140,7 +152,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
         texts = lines.select("node", "line").join(_small(scratch.save(some)), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
         return texts.select("node", F.explode(_shingle_hashes(F.col("line"))).alias("h"))
 
-    linked = link(spark, scratch, _postings(lines), verify, _may_link, shingles, percent)
+    linked = link(spark, scratch, _postings(lines, scratch), verify, _may_link, shingles, percent)
     spots = scratch.save(lines.select("doc_id", "th", "pos", "node"))
     often = spots.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     groups = scratch.save(often.join(linked, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component")))
