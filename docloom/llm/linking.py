@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, connected_components
 
+#: Token groups of more nodes are thinned by the exact bound before their pairs are verified; smaller ones are verified as they are.
+LARGE = 64
+
 
 def link(
     spark: SparkSession, scratch: Scratch, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column, Column, Column], Column],
@@ -27,9 +30,9 @@ def link(
        tokens with. The links give first components; large groups of near copies are mostly one component after it.
     2. More stars: in each token group, the nodes outside the group's largest component are verified against one node
        of that component, another one for every token and round.
-    3. Crossings: every candidate pair whose nodes are still in different components is verified, but for pairs that an
-       exact bound rules out: a link needs a share of shingles in common, and a shingle that no other node left has
-       is common to no pair. In each token group only the rows outside the group's largest component are joined with the group.
+    3. Crossings: every candidate pair whose nodes are still in different components is verified, but for pairs in groups of
+       more than ``LARGE`` nodes that an exact bound rules out: a link needs a share of shingles in common, and a shingle
+       that no other node of such groups has is common to no pair. In each token group only the rows outside the group's largest component are joined with the group.
 
     A candidate that is never verified has both ends in one component already, or is no link, so the components are
     those of all candidates. Groups of one token are only met in aggregations with map-side combine and in joins that adaptive
@@ -53,11 +56,11 @@ def link(
             component = _merged(spark, component, more, scratch)
     mixed = scratch.save(_mixed(shared, component, star_rounds))
     scratch.drop(shared)
-    bound = scratch.save(_bounds(shingles(mixed.select("node").distinct()), percent))
-    mixed = mixed.join(bound, "node")
+    bound = scratch.save(_bounds(shingles(mixed.where(F.col("rows") > LARGE).select("node").distinct()), percent))
+    mixed = mixed.join(bound, "node", "left").where((F.col("rows") <= LARGE) | F.col("all").isNotNull())
     a = mixed.where("comp != main").select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"), F.col("comp").alias("ca"), F.col("all").alias("na"), F.col("common").alias("ma"))
-    b = mixed.select("token", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"), F.col("comp").alias("cb"), F.col("all").alias("nb"), F.col("common").alias("mb"), "main")
-    fits = (100 + percent) * F.least("ma", "mb", "na", "nb") >= percent * (F.col("na") + F.col("nb"))
+    b = mixed.select("token", "rows", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"), F.col("comp").alias("cb"), F.col("all").alias("nb"), F.col("common").alias("mb"), "main")
+    fits = (F.col("rows") <= LARGE) | ((100 + percent) * F.least("ma", "mb", "na", "nb") >= percent * (F.col("na") + F.col("nb")))
     crossing = (
         a.join(b, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & fits & may_link(F.col("sa"), F.col("ba"), F.col("sb"), F.col("bb")))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -79,8 +82,8 @@ def _mixed(shared: DataFrame, component: DataFrame, r: int) -> DataFrame:
     order = F.xxhash64("token", "node", F.lit(r))
     parts = labelled.groupBy("token", "comp").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("node", order).alias("pick"), F.min_by("size", order).alias("_size"), F.min_by("bits", order).alias("_bits"))
-    groups = parts.groupBy("token").agg(F.max(F.struct("n", "comp", "pick", "_size", "_bits")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return labelled.join(groups.select("token", F.col("top.comp").alias("main"), "top.pick", "top._size", "top._bits"), "token")
+    groups = parts.groupBy("token").agg(F.max(F.struct("n", "comp", "pick", "_size", "_bits")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("rows")).where("parts > 1")
+    return labelled.join(groups.select("token", "rows", F.col("top.comp").alias("main"), "top.pick", "top._size", "top._bits"), "token")
 
 
 def _merged(spark: SparkSession, component: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
