@@ -29,6 +29,9 @@ BROADCAST_ROWS = 2_000_000
 BLANK = " \t\r\x0b\x0c"
 #: Eight bits of each minimum, in two words of seven bytes; the top byte of either says which bins are filled.
 _HALF = BINS // 2
+#: Bins of the sketches that lines in large groups are compared by.
+WIDE = 64
+_ONES8 = sum(1 << (8 * i) for i in range(8))
 _ONES = sum(1 << (8 * i) for i in range(_HALF))
 
 
@@ -132,6 +135,31 @@ def _may_link(sa: Column, ba: Column, sb: Column, bb: Column) -> Column:
     return e1 + e2 >= F.element_at(F.array(*[F.lit(x) for x in LEAST_BINS]), u1 + u2 + 1)
 
 
+def _wide(texts: DataFrame) -> DataFrame:
+    """(node, n, filled, w0 ...): distinct shingles, which of ``WIDE`` bins they fill, and eight bits of each bin's minimum, eight bins to a word."""
+    rows = texts.select("node", F.explode(_shingle_hashes(F.col("line"))).alias("h"))
+    low = rows.groupBy("node", F.pmod(F.shiftright("h", 8), F.lit(WIDE)).cast("int").alias("bin")).agg(F.min("h").alias("m"), F.count(F.lit(1)).alias("k"))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
+    byte = F.call_function("shiftleft", F.shiftrightunsigned("m", 24).bitwiseAND(F.lit(255)), 8 * F.pmod("bin", F.lit(8)))
+    return low.groupBy("node").agg(
+        F.sum("k").alias("n"), F.bit_or(bit(F.col("bin"))).alias("filled"),
+        *[F.coalesce(F.bit_or(F.when(F.floor(F.col("bin") / 8) == w, byte)), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WIDE // 8)])
+
+
+def _may_link_wide(percent: int) -> Column:
+    """Whether sizes and wide sketches of a pair allow a link; the bound is four deviations below the mean."""
+    agree = F.lit(0)
+    for w in range(WIDE // 8):
+        x = F.col(f"a_w{w}").bitwiseXOR(F.col(f"b_w{w}"))
+        for s in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, s).bitwiseAND(F.lit(_ONES8 * ((1 << (8 - s)) - 1))))
+        agree = agree + 8 - F.bit_count(x.bitwiseAND(F.lit(_ONES8)))
+    either = F.bit_count(F.col("a_filled").bitwiseOR(F.col("b_filled")))
+    share = percent / 100
+    least = [max(0, math.floor(u * share - 4 * math.sqrt(u * share * (1 - share)))) for u in range(WIDE + 1)]
+    return (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (agree - (WIDE - either) >= F.element_at(F.array(*[F.lit(x) for x in least]), either + 1))
+
+
 def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, gone): the positions of the lines to remove from each document; th is the hash of its text.
 
@@ -148,11 +176,16 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
         ends = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
         return ends.where(_similar(_shingle_hashes(F.col("la")), _shingle_hashes(F.col("lb")), percent)).select("a", "b")
 
-    def shingles(some: DataFrame) -> DataFrame:
-        texts = lines.select("node", "line").join(_small(scratch.save(some)), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
-        return texts.select("node", F.explode(_shingle_hashes(F.col("line"))).alias("h"))
+    def dense(groups: DataFrame) -> DataFrame:
+        some = scratch.save(groups.select("node").distinct())
+        texts = lines.select("node", "line").join(_small(some), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+        full = scratch.save(groups.select("main", "node", "comp").join(_wide(texts), "node"))
+        side = lambda x: full.select("main", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in full.columns[2:]])
+        a, b = side("a").where("a_comp != main"), side("b")
+        pairs = a.join(b, "main").where((F.col("a_comp") != F.col("b_comp")) & _may_link_wide(percent))
+        return verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    linked = link(spark, scratch, _postings(lines, scratch), verify, _may_link, shingles, percent)
+    linked = link(spark, scratch, _postings(lines, scratch), verify, _may_link, dense)
     spots = scratch.save(lines.select("doc_id", "th", "pos", "node"))
     often = spots.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     groups = scratch.save(often.join(linked, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component")))

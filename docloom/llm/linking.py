@@ -12,30 +12,31 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, connected_components
 
-#: Token groups of more nodes are thinned by the exact bound before their pairs are verified; smaller ones are verified as they are.
+#: Pairs in token groups of up to so many nodes are joined; those of larger ones are left to ``dense``.
 LARGE = 64
 
 
 def link(
     spark: SparkSession, scratch: Scratch, postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column, Column, Column], Column],
-    shingles: Callable[[DataFrame], DataFrame], percent: int, star_rounds: int = 2,
+    dense: Callable[[DataFrame], DataFrame], star_rounds: int = 2,
 ) -> DataFrame:
     """(node, component) of all nodes that have a verified link.
 
     ``postings``: token, node, size, bits (bigint), one row per token of a node. Two nodes are candidates when they share a token
-    and ``may_link(size, bits, size, bits)``. ``verify`` takes distinct candidates (a, b) and returns the true links among them,
-    those whose shingle sets have a Jaccard similarity of ``percent`` / 100. ``shingles`` takes nodes (node) and returns (node, h).
+    and ``may_link(size, bits, size, bits)``. ``verify`` takes distinct candidates (a, b) and returns the true links among them.
+    ``dense`` takes large groups as rows (main, node, comp, size, bits), where main is a group's largest component, and returns
+    links (a, b) of their nodes with comp other than main: one at least with every other component that such a node links to.
 
     1. Stars: each node is verified against one node only, the smallest node of a token group it shares most
        tokens with. The links give first components; large groups of near copies are mostly one component after it.
     2. More stars: in each token group, the nodes outside the group's largest component are verified against one node
        of that component, another one for every token and round.
-    3. Crossings: every candidate pair whose nodes are still in different components is verified, but for pairs in groups of
-       more than ``LARGE`` nodes that an exact bound rules out: a link needs a share of shingles in common, and a shingle
-       that no other node of such groups has is common to no pair. In each token group only the rows outside the group's largest component are joined with the group.
+    3. Crossings: every candidate pair whose nodes are still in different components is verified. In groups of up to ``LARGE``
+       nodes the rows outside the group's largest component are joined with the group; larger groups, those with the same largest component
+       as one, go to ``dense``.
 
-    A candidate that is never verified has both ends in one component already, or is no link, so the components are
-    those of all candidates. Groups of one token are only met in aggregations with map-side combine and in joins that adaptive
+    A candidate that is never verified has both ends in one component already, so the components are those of all
+    candidates. Groups of one token are only met in aggregations with map-side combine and in joins that adaptive
     execution can split.
     """
     often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
@@ -56,26 +57,20 @@ def link(
             component = _merged(spark, component, more, scratch)
     mixed = scratch.save(_mixed(shared, component, star_rounds))
     scratch.drop(shared)
-    bound = scratch.save(_bounds(shingles(mixed.where(F.col("rows") > LARGE).select("node").distinct()), percent))
-    mixed = mixed.join(bound, "node", "left").where((F.col("rows") <= LARGE) | F.col("all").isNotNull())
-    a = mixed.where("comp != main").select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"), F.col("comp").alias("ca"), F.col("all").alias("na"), F.col("common").alias("ma"))
-    b = mixed.select("token", "rows", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"), F.col("comp").alias("cb"), F.col("all").alias("nb"), F.col("common").alias("mb"), "main")
-    fits = (F.col("rows") <= LARGE) | ((100 + percent) * F.least("ma", "mb", "na", "nb") >= percent * (F.col("na") + F.col("nb")))
+    few = mixed.where(F.col("rows") <= LARGE)
+    a = few.where("comp != main").select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"), F.col("comp").alias("ca"))
+    b = few.select("token", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"), F.col("comp").alias("cb"), "main")
     crossing = (
-        a.join(b, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & fits & may_link(F.col("sa"), F.col("ba"), F.col("sb"), F.col("bb")))
+        a.join(b, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & may_link(F.col("sa"), F.col("ba"), F.col("sb"), F.col("bb")))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     more = scratch.save(verify(crossing))
+    many = scratch.save(mixed.where(F.col("rows") > LARGE).groupBy("main", "node").agg(*[F.first(c).alias(c) for c in ("comp", "size", "bits")]))
+    if not many.isEmpty():
+        more = scratch.save(more.unionByName(dense(many)))
     return component if more.isEmpty() else _merged(spark, component, more, scratch)
 
 
-def _bounds(rows: DataFrame, percent: int) -> DataFrame:
-    """(node, all, common): a node's shingles, and those that another of the nodes has too. Nodes that can link with none are left out."""
-    df = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    common = rows.join(df, "h").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
-    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("all")).join(common, "node").where(100 * F.col("common") >= percent * F.col("all"))
-
-
 def _mixed(shared: DataFrame, component: DataFrame, r: int) -> DataFrame:
     """The rows of tokens of several components, each with its component, the token's largest one, and a node of that."""
     labelled = shared.join(component, "node", "left").select("token", "node", "size", "bits", F.coalesce("component", "node").alias("comp"))

@@ -26,6 +26,8 @@ _XOR = _rng.integers(0, 1 << 63, COORDS, np.uint64)
 _MUL = _rng.integers(0, 1 << 63, COORDS, np.uint64) | np.uint64(1)
 _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 4096
+#: Shingles of either block of documents of a large group that a task compares.
+BLOCK_SHINGLES = 1_000_000
 
 
 class ByteWords(dict):
@@ -108,11 +110,37 @@ def _sets(width: int):
     return run
 
 
-def _rows(batches):
-    for batch in batches:
-        for cls, found in zip(batch.column("cls").to_pylist(), batch.column("found").to_pylist(), strict=True):
-            h = np.frombuffer(found, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), cls)), pa.array(h)], ["node", "h"])
+def _meet(percent: int):
+    """Blocks of ``one`` rows and of the others: for each of the first, links to one node of every other component that it links to."""
+
+    def run(key, rows):
+        one = np.asarray(rows.column("one"))
+        node, comp = np.asarray(rows.column("node")), np.asarray(rows.column("comp"))
+        sig = np.array(rows.column("sig").to_pylist(), np.int64).reshape(-1, COORDS)
+        found = [np.frombuffer(x, np.uint64) for x in rows.column("found").to_pylist()]
+        size = np.array([len(x) for x in found])
+        others = np.flatnonzero(~one)
+        a, b = [], []
+        for i in np.flatnonzero(one).tolist():
+            own = found[i]
+            near = others[(comp[others] != comp[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
+            match = (sig[near] == sig[i]).sum(1)
+            near, match = near[match >= MATCHES], match[match >= MATCHES]
+            near = near[np.lexsort((node[near], -match))]
+            while len(near):
+                some, near = near[:64], near[64:]
+                whole = np.concatenate([found[j] for j in some.tolist()])
+                at = np.minimum(np.searchsorted(own, whole), len(own) - 1)
+                both = np.add.reduceat((own[at] == whole).astype(np.int64), np.concatenate(([0], np.cumsum(size[some])[:-1])))
+                linked = some[100 * both >= percent * (size[some] + len(own) - both)]
+                if len(linked):
+                    _, first = np.unique(comp[linked], return_index=True)
+                    a += [node[i]] * len(first)
+                    b += node[linked[first]].tolist()
+                    near = near[~np.isin(comp[near], comp[linked])]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _confirm(percent: int):
@@ -175,10 +203,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     def may_link(sa, ba, sb, bb):
         return (100 * F.least(sa, sb) >= percent * F.greatest(sa, sb)) & (F.bit_count(ba.bitwiseXOR(bb)) <= COORDS - SKETCH_BITS)
 
-    def shingles(some: DataFrame) -> DataFrame:
-        return sets.join(some.withColumnRenamed("node", "cls"), "cls", "left_semi").mapInArrow(_rows, "node long, h long").distinct()
-
-    linked = link(spark, scratch, postings, verify, may_link, shingles, percent)
+    def dense(groups: DataFrame) -> DataFrame:
+        outside = F.col("comp") != F.col("main")
+        blocks = groups.groupBy("main").agg(F.ceil(F.sum(F.when(outside, F.col("size"))) / BLOCK_SHINGLES).cast("int").alias("bi"), F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("bj")).where("bi > 0")
+        dealt = groups.join(blocks, "main")
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        of = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
+        one = dealt.where(outside).select("main", "node", "comp", F.lit(True).alias("one"), of("bi").alias("i"), numbers("bj").alias("j"))
+        all_ = dealt.select("main", "node", "comp", F.lit(False).alias("one"), numbers("bi").alias("i"), of("bj").alias("j"))
+        named = lambda df: df.withColumnRenamed("cls", "node")
+        full = one.unionByName(all_).join(named(sigs), "node").join(named(sets), "node")
+        return full.groupBy("main", "i", "j").applyInArrow(_meet(percent), "a long, b long")
+
+    linked = link(spark, scratch, postings, verify, may_link, dense)
     root = classes.join(linked, F.col("cls") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "cls").alias("root"))
     rows = signed.select("doc_id", "n", "k1", "k2").join(root, ["k1", "k2"], "left").withColumn("root", F.when(F.col("n") > 0, F.col("root")))
     rows = scratch.save(rows.select("doc_id", "n", "root"))

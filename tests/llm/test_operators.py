@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, embedding_dedup, language_id, line_dedup, near_dedup, packing, quality, secret_scan, sharding, substring_dedup
+from docloom.llm import decontaminate, embedding_dedup, language_id, line_dedup, linking, near_dedup, packing, quality, secret_scan, sharding, substring_dedup
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -85,8 +85,11 @@ def test_near_dedup(docs, none, width):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept or r.doc_id is None}
 
 
-def test_near_dedup_hot_group(spark):
+@pytest.mark.parametrize("large", [64, 2])
+def test_near_dedup_hot_group(spark, monkeypatch, large):
     """A large group of near copies around one text, none of which is the text itself."""
+    monkeypatch.setattr(linking, "LARGE", large)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 5000)
     base = words(7, 150)
     rows = [(i, " ".join(edited(base, i, 0.06))) for i in range(150)]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
@@ -160,7 +163,9 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
 
 
-def test_line_dedup_many(spark):
+@pytest.mark.parametrize("large", [64, 2])
+def test_line_dedup_many(spark, monkeypatch, large):
+    monkeypatch.setattr(linking, "LARGE", large)
     base = " ".join(words(3, 40))
     rows = [(i, "\n".join(" ".join(edited(base.split(), 10 * i + k, 0.03 * (k % 4))) for k in range(3)) + f"\nline of its own {i * 7919}") for i in range(60)]
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
