@@ -19,6 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows that may be broadcast; larger sides are shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A hint to broadcast ``df`` if it is counted to have no more than ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 class Scratch:
     """Tables written as Parquet in the shared folder, which cuts lineage: a lost executor costs a reread, not a rerun.
 

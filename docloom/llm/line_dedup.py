@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch
+from docloom.llm.common import BROADCAST_ROWS, Scratch, if_small
 from docloom.llm.linking import link
 
 SHINGLE, BINS, BAND = 8, 14, 2
@@ -24,8 +24,6 @@ SHINGLE, BINS, BAND = 8, 14, 2
 KEPT_PER_BIN = 12
 #: Of the bins that either of two linked lines fills, so many agree at least, for 0 to ``BINS`` such bins: four deviations below the mean.
 LEAST_BINS = [max(0, math.floor(u * 0.8 - 4 * math.sqrt(u * 0.8 * 0.2))) for u in range(BINS + 1)]
-#: Rows that may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 2_000_000
 BLANK = " \t\r\x0b\x0c"
 #: Eight bits of each minimum, in two words of seven bytes; the top byte of either says which bins are filled.
 _HALF = BINS // 2
@@ -35,11 +33,6 @@ _ONES8 = sum(1 << (8 * i) for i in range(8))
 _ONES = sum(1 << (8 * i) for i in range(_HALF))
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A hint to broadcast ``df`` if it is counted to be small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _units(line: Column) -> Column:
     return F.encode(line, "UTF-16BE")
 
@@ -94,7 +87,7 @@ def _postings(lines: DataFrame, scratch: Scratch) -> DataFrame:
     empty = (F.col("n") > BINS * KEPT_PER_BIN) & F.greatest(*[F.col(f"m{j}").isNull() for j in range(BINS)])
     again = scratch.save(low.where(empty).select("node"))
     if not again.isEmpty():
-        low = low.where(~empty).unionByName(_minima(units.join(_small(again), "node", "left_semi"), most))
+        low = low.where(~empty).unionByName(_minima(units.join(if_small(again), "node", "left_semi"), most))
     sketch = [_sketch(range(h, h + _HALF)) for h in (0, _HALF)]
     bands = F.array(*[
         F.when(F.coalesce(*[F.col(f"m{j}") for j in range(b, b + BAND)]).isNotNull(), F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in range(b, b + BAND)]))
@@ -172,13 +165,13 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs)
         ends = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        texts = scratch.save(lines.select("node", "line").join(_small(ends), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")))
+        texts = scratch.save(lines.select("node", "line").join(if_small(ends), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")))
         ends = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
         return ends.where(_similar(_shingle_hashes(F.col("la")), _shingle_hashes(F.col("lb")), percent)).select("a", "b")
 
     def dense(groups: DataFrame) -> DataFrame:
         some = scratch.save(groups.select("node").distinct())
-        texts = lines.select("node", "line").join(_small(some), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
+        texts = lines.select("node", "line").join(if_small(some), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
         full = scratch.save(groups.select("main", "node", "comp").join(_wide(texts), "node"))
         side = lambda x: full.select("main", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in full.columns[2:]])
         a, b = side("a").where("a_comp != main"), side("b")
@@ -190,7 +183,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     often = spots.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     groups = scratch.save(often.join(linked, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component")))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos", "th")
-    several = spots.join(_small(groups), "node").select("doc_id", "th", "pos", "component", rank.alias("rank"))
+    several = spots.join(if_small(groups), "node").select("doc_id", "th", "pos", "component", rank.alias("rank"))
     first = several.groupBy("component").agg(F.min("rank").alias("first"))
     gone = several.join(first, "component").where("rank != first")
     return scratch.save(gone.groupBy("doc_id", "th").agg(F.array_distinct(F.collect_list("pos")).alias("gone")))
@@ -199,7 +192,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
 def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     gone = repeated_lines(docs, percent, id_col, text_col).select(F.col("doc_id").alias("_docloom_id"), F.col("th").alias("_docloom_th"), F.col("gone").alias("_docloom_gone"))
     same = docs[id_col].eqNullSafe(F.col("_docloom_id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("_docloom_th"))
-    return docs.join(_small(gone, BROADCAST_ROWS // 4), same, "left")
+    return docs.join(if_small(gone, BROADCAST_ROWS // 4), same, "left")
 
 
 def _kept(text: Column, gone: Column) -> Column:

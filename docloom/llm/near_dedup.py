@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch
+from docloom.llm.common import Scratch, if_small
 from docloom.llm.linking import link
 
 COORDS, MATCHES = 64, 36
@@ -26,6 +26,8 @@ _XOR = _rng.integers(0, 1 << 63, COORDS, np.uint64)
 _MUL = _rng.integers(0, 1 << 63, COORDS, np.uint64) | np.uint64(1)
 _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 4096
+#: Documents whose ids may be broadcast to fetch their texts; more are shuffled.
+WANTED_ROWS = 1_000_000
 #: Shingles of either block of documents of a large group that a task compares.
 BLOCK_SHINGLES = 1_000_000
 
@@ -186,8 +188,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     prefix = scratch.save(prefix)
     nodes = scratch.save(heads.join(prefix.select(F.col("node").alias("cls")).distinct(), "cls", "left_semi"))
     postings = prefix.join(nodes.select(F.col("cls").alias("node"), F.col("n").alias("size"), "bits"), "node")
-    wanted = nodes.select("cls", F.col("doc_id").alias("_d"), F.col("th").alias("_h"))
-    texts = base.select("doc_id", "th", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("th").eqNullSafe(F.col("_h"))).select("cls", "text")
+    wanted = if_small(nodes.select("cls", F.col("doc_id").alias("_d"), F.col("th").alias("_h")), WANTED_ROWS)
+    texts = base.select("doc_id", "th", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("th").eqNullSafe(F.col("_h"))).select("cls", "text")
     sets = scratch.save(texts.mapInArrow(_sets(width), "cls long, found binary"))
     sigs = nodes.select("cls", "sig")
 
@@ -197,7 +199,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             .where(F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= MATCHES).select("a", "b")
         )
         seen = scratch.save(seen)
-        full = seen.join(sets.select(F.col("cls").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("found").alias("fb")), "b")
+        ends = scratch.save(seen.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        some = sets.join(if_small(ends), "cls", "left_semi")
+        full = seen.join(some.select(F.col("cls").alias("a"), F.col("found").alias("fa")), "a").join(some.select(F.col("cls").alias("b"), F.col("found").alias("fb")), "b")
         return full.select("a", "b", "fa", "fb").mapInArrow(_confirm(percent), "a long, b long").distinct()
 
     def may_link(sa, ba, sb, bb):
@@ -212,7 +216,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         one = dealt.where(outside).select("main", "node", "comp", F.lit(True).alias("one"), of("bi").alias("i"), numbers("bj").alias("j"))
         all_ = dealt.select("main", "node", "comp", F.lit(False).alias("one"), numbers("bi").alias("i"), of("bj").alias("j"))
         named = lambda df: df.withColumnRenamed("cls", "node")
-        full = one.unionByName(all_).join(named(sigs), "node").join(named(sets), "node")
+        some = groups.select(F.col("node").alias("cls")).distinct()
+        full = one.unionByName(all_).join(named(sigs), "node").join(named(sets.join(if_small(some), "cls", "left_semi")), "node")
         return full.groupBy("main", "i", "j").applyInArrow(_meet(percent), "a long, b long")
 
     linked = link(spark, scratch, postings, verify, may_link, dense)
