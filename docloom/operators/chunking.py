@@ -7,7 +7,9 @@ Null and empty texts give no chunks. The sliding chunker is native; the others d
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate, groupby, pairwise
 
 import numpy as np
 import pandas as pd
@@ -67,24 +69,21 @@ def token_chunks(text: str, size: int, overlap: int, encode: Callable[[str], lis
 
 
 def _gather(parts: list[str], joint: str, size: int, overlap: int, least: int, most: int | None, shift: bool) -> Iterator[Chunk]:
-    """Parts in order, as many as fit, joined. ``shift``: with overlap, a chunk starts before the parts it repeats."""
-    held: list[str] = []
-    length = start = index = at = 0
-    for part in parts:
-        full = held and (length + len(part) > size or (most and len(held) >= most))
-        if full and len(held) >= least:
-            whole = joint.join(held)
-            yield index, start, start + len(whole), whole.strip()
-            index += 1
-            held = held[-overlap:] if 0 < overlap < len(held) else []
-            length = sum(len(x) + len(joint) for x in held)
-            start = at - length if shift else at
-        held.append(part)
-        length += len(part) + len(joint)
-        at += len(part) + len(joint)
-    if held:
-        whole = joint.join(held)
-        yield index, start, start + len(whole), whole.strip()
+    """Parts in order, as many as fit, joined. ``shift``: with overlap, a chunk starts before the parts it repeats.
+
+    Every chunk is a slice of the joined text, so only part numbers are decided, each from the running lengths by bisection.
+    """
+    ends = list(accumulate(len(p) + len(joint) for p in parts))
+    starts = [0, *ends]
+    whole, stops = joint.join(parts), [e - len(joint) for e in ends]
+    first = new = index = 0
+    while new < len(parts):
+        fits = bisect_right(stops, starts[first] + size)
+        after = min(max(new + 1, first + least, min(fits, first + most) if most else fits), len(parts))
+        content = whole[starts[first] : stops[after - 1]]
+        at = starts[first if shift else new]
+        yield index, at, at + len(content), content.strip()
+        first, new, index = (after - overlap if 0 < overlap < after - first else after), after, index + 1
 
 
 def _parts(pattern: re.Pattern, text: str) -> list[str]:
@@ -107,57 +106,51 @@ def paragraph_chunks(text: str, size: int, overlap: int = 0, least: int = 1) ->
 def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS, keep: bool = True, length: Callable[[str], int] = len) -> list[str]:
     """Pieces between the coarsest separator present, packed up to ``size``; larger ones are split by the finer separators.
 
-    A chunk may exceed ``size`` by what it repeats of the one before it.
+    A chunk may exceed ``size`` by what it repeats of the one before it. All results are slices of the text, so a level works on
+    the borders between its pieces: stretches of pieces that fit are packed, pieces between stretches go one level down.
     """
     if not text:
         return []
     if length(text) <= size:
         return [text]
-    present = next((i for i, s in enumerate(separators) if s == "" or s in text), None)
-    mark = separators[-1] if present is None else separators[present]
-    finer = () if present is None or mark == "" else separators[present + 1 :]
-    if mark == "":
-        pieces = list(text)
-    else:
-        pieces = text.split(mark)
-        if keep:
-            pieces = [p + mark for p in pieces[:-1]] + [p for p in pieces[-1:] if p]
-    joint = "" if keep else mark
+    level = next((i for i, s in enumerate(separators) if not s or s in text), len(separators))
+    mark, finer = (separators[level], separators[level + 1 :]) if level < len(separators) else (separators[-1], ())
+    borders = list(range(len(text) + 1)) if not mark else [0, *(m.end() for m in re.finditer(re.escape(mark), text))]
+    cut = 0 if keep or not mark else len(mark)
+    pieces = list(pairwise(borders)) if not mark else [(a, b - cut) for a, b in pairwise(borders)]
+    if mark and (borders[-1] < len(text) or not keep):
+        pieces.append((borders[-1], len(text)))
+    weights = [length(text[a:b]) for a, b in pieces]
     out: list[str] = []
-    held: list[str] = []
-    used, gap = 0, length(mark)
-    for piece in pieces:
-        n = length(piece)
-        if n > size:
-            if held:
-                out.append(joint.join(held))
-            held, used = [], 0
-            out += recursive_pieces(piece, size, overlap, finer, keep, length) if finer else _forced(piece, size, overlap)
+    for fitting, group in groupby(range(len(pieces)), key=lambda i: weights[i] <= size):
+        numbers = list(group)
+        if fitting:
+            out += _packed(text, pieces, weights, numbers[0], numbers[-1] + 1, size, overlap, length(mark), length)
             continue
-        if held and used + n + gap > size:
-            out.append(joint.join(held))
-            back = len(held)
-            if overlap > 0:
-                while back and length(joint.join(held[back - 1 :])) <= overlap:
-                    back -= 1
-            held = held[back:]
-            used = length(joint.join(held)) if held else 0
-        held.append(piece)
-        used += n + (gap if len(held) > 1 else 0)
-    if held:
-        out.append(joint.join(held))
+        for i in numbers:
+            one = text[slice(*pieces[i])]
+            out += recursive_pieces(one, size, overlap, finer, keep, length) if finer and mark else [one[x : x + size] for x in _strides(len(one), size, overlap)]
     return out
 
 
-def _forced(text: str, size: int, overlap: int) -> list[str]:
-    out, at = [], 0
-    while at < len(text):
-        end = min(at + size, len(text))
-        out.append(text[at:end])
-        at = end - overlap
-        if at <= 0 or end >= len(text):
-            break
-    return out
+def _strides(n: int, size: int, overlap: int) -> range:
+    """Starts of windows of ``size``, up to the first that reaches the end."""
+    step = size - overlap
+    return range(0, max(1, -(-(n - overlap) // step)) * step, step)
+
+
+def _packed(text: str, pieces: list[tuple[int, int]], weights: list[int], first: int, stop: int, size: int, overlap: int, gap: int, length: Callable[[str], int]) -> Iterator[str]:
+    """Pieces ``first`` to ``stop`` in as few slices as greedy packing gives; ``gap`` counts between any two of a slice."""
+    load = list(accumulate((weights[i] + gap for i in range(first, stop)), initial=0))
+    span = lambda a, b: text[pieces[a][0] : pieces[b - 1][1]]
+    new, repeated = first, 0
+    while new < stop:
+        base = length(span(new - repeated, new)) + gap if repeated else 0
+        after = max(new + 1, first + bisect_right(load, size + gap - base + load[new - first]) - 1)
+        yield span(new - repeated, after)
+        back = range(new - repeated, after)
+        repeated = after - back[bisect_left(back, True, key=lambda i: length(span(i, after)) <= overlap)] if overlap > 0 and length(span(after - 1, after)) <= overlap else 0
+        new = after
 
 
 def recursive_chunks(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS, keep: bool = True, length: Callable[[str], int] = len) -> Iterator[Chunk]:

@@ -28,7 +28,7 @@ def test_fixed():
 def test_sentences():
     text = "One two. Three four! Five? Éa no. six"
     assert [x[3] for x in c.sentence_chunks(text, 20)] == ["One two. Three four!", "Five? Éa no. six"]
-    assert [x[3] for x in c.sentence_chunks("A. B. C. D.", 4, 1, most=2)] == ["A. B.", "B. C.", "C. D."]
+    assert [x[3] for x in c.sentence_chunks("A. B. C. D.", 10, 1, most=2)] == ["A. B.", "B. C.", "C. D."]
     assert [x[3] for x in c.sentence_chunks("가다. 나다.\n다음 줄.", 5)] == ["가다.", "나다.", "다음 줄."]
 
 

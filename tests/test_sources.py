@@ -152,7 +152,7 @@ def test_pipeline_over_files(spark, folder):
     got = {r.source_path.rpartition("/")[2]: r for r in out.collect()}
     assert len(got) == 10 and {k for k, r in got.items() if not r.success} == {"i.docx", "j.xyz"} and "no parser" in got["j.xyz"].error
     assert got["f.html"].content == "T\nx y" and got["g.md"].content == "H\nb" and got["h.txt"].content == "é" and got["g.md"].metadata["title"] == "M"
-    assert len(got["a.docx"].chunks) == 2 and got["a.docx"].word_count == 4 and got["i.docx"].chunks in (None, [])
+    assert len(got["a.docx"].chunks) == 3 and got["a.docx"].word_count == 4 and got["i.docx"].chunks in (None, [])
     s = batch_summary(out).first()
     assert (s.total, s.successful, s.failed, s.success_rate, len(s.failed_files)) == (10, 8, 2, 0.8, 2)
     with pytest.raises(Exception, match="no parser"):
