@@ -1,7 +1,7 @@
 """Line dedup with DataFrame functions only: fuzzy lines by MinHash.
 
 A line's shingles of ``SHINGLE`` characters are hashed once; one-permutation MinHash keeps the minimum of each of ``BINS``
-residue classes of the hash. Bands of two minima are the tokens under which lines meet; pairs are verified by the exact
+residue classes of the hash. Bands of three minima are the tokens under which lines meet; pairs are verified by the exact
 Jaccard similarity of their shingle sets, and distributed union-find leaves one line per component.
 
 Hashing, binning and taking minima is one generated loop with map-side combine on the line's own hash, so equal lines
@@ -18,19 +18,19 @@ from pyspark.sql import functions as F
 from docloom.llm.common import BROADCAST_ROWS, Scratch, if_small
 from docloom.llm.linking import link
 
-SHINGLE, BINS, BAND = 8, 14, 2
+SHINGLE, BINS, BAND = 8, 30, 3
 #: Of a long line only the smallest hashes, about so many, can hold a minimum; larger ones are not looked at. The cut
 #: is on the hash, so lines of any length agree on it.
-KEPT_PER_BIN = 12
-#: Of the bins that either of two linked lines fills, so many agree at least, for 0 to ``BINS`` such bins: four deviations below the mean.
-LEAST_BINS = [max(0, math.floor(u * 0.8 - 4 * math.sqrt(u * 0.8 * 0.2))) for u in range(BINS + 1)]
+KEPT_PER_BIN = 10
+#: Of the bins of two linked lines, so many agree at least (empty bins agree): four deviations below the mean.
+LEAST_BINS = math.floor(BINS * 0.8 - 4 * math.sqrt(BINS * 0.8 * 0.2))
 BLANK = " \t\r\x0b\x0c"
-#: Eight bits of each minimum, in two words of seven bytes; the top byte of either says which bins are filled.
+#: Four bits of each minimum, in two words.
 _HALF = BINS // 2
+_ONES = sum(1 << (4 * i) for i in range(_HALF))
 #: Bins of the sketches that lines in large groups are compared by.
 WIDE = 64
 _ONES8 = sum(1 << (8 * i) for i in range(8))
-_ONES = sum(1 << (8 * i) for i in range(_HALF))
 
 
 def _units(line: Column) -> Column:
@@ -98,34 +98,20 @@ def _postings(lines: DataFrame, scratch: Scratch) -> DataFrame:
 def _sketch(bins: range) -> Column:
     out = F.lit(0).cast("bigint")
     for i, j in enumerate(bins):
-        m = F.col(f"m{j}")
-        byte = F.shiftleft(F.shiftrightunsigned(m, 5).bitwiseAND(F.lit(255)), 8 * i).bitwiseOR(F.lit(1 << (56 + i)))
-        out = out.bitwiseOR(F.coalesce(byte, F.lit(0)))
+        out = out.bitwiseOR(F.coalesce(F.shiftleft(F.shiftrightunsigned(F.col(f"m{j}"), 5).bitwiseAND(F.lit(15)), 4 * i), F.lit(0)))
     return out
 
 
-def _agree(a: Column, b: Column) -> tuple[Column, Column]:
-    """Bins that both fill with equal bytes, and bins that either fills, of one word of the sketches."""
+def _differ(a: Column, b: Column) -> Column:
+    """Bins whose four bits differ, of one word of the sketches."""
     x = a.bitwiseXOR(b)
-    for s in (4, 2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, s).bitwiseAND(F.lit(_ONES * ((1 << (8 - s)) - 1))))
-    differ = x.bitwiseAND(F.lit(_ONES))
-    # one bit per bin, at the foot of its byte, from the top byte's bits
-    filled = lambda m: _either([F.shiftleft(F.shiftrightunsigned(m, 56 + i).bitwiseAND(F.lit(1)), 8 * i) for i in range(_HALF)])
-    both, either = filled(a.bitwiseAND(b)), filled(a.bitwiseOR(b))
-    return F.bit_count(both.bitwiseAND(F.bitwise_not(differ))), F.bit_count(either)
-
-
-def _either(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.bitwiseOR(p)
-    return out
+    for s in (2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, s))
+    return F.bit_count(x.bitwiseAND(F.lit(_ONES)))
 
 
 def _may_link(sa: Column, ba: Column, sb: Column, bb: Column) -> Column:
-    (e1, u1), (e2, u2) = _agree(sa, sb), _agree(ba, bb)
-    return e1 + e2 >= F.element_at(F.array(*[F.lit(x) for x in LEAST_BINS]), u1 + u2 + 1)
+    return _differ(sa, sb) + _differ(ba, bb) <= BINS - LEAST_BINS
 
 
 def _wide(texts: DataFrame) -> DataFrame:
