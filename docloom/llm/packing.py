@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import filterfalse
 
 import pandas as pd
 import pyarrow as pa
@@ -40,7 +41,8 @@ class WordIds(dict):
 
     def _ascii(self, word: str) -> bytes:
         out = []
-        for piece in _ASCII.findall(word.lower()):
+        low = word.lower()
+        for piece in (low,) if low.isalpha() else _ASCII.findall(low):
             ids = self.pieces.get(piece)
             if ids is None:
                 found = [t.id for t in self.model.tokenize(piece)]
@@ -53,11 +55,12 @@ class WordIds(dict):
         return b"".join(out)
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        # the tokenizer lower-cases, so ASCII texts may be before they are split: fewer distinct words
+        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words: set[str] = set()
         for x in split:
             words.update(x)
-        new = [w for w in words if w not in self]
+        new = list(filterfalse(self.__contains__, words))
         if len(self) + len(new) > KEPT_WORDS:
             self.clear()
             self[""] = b""
