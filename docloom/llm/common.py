@@ -5,39 +5,67 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a new local folder serves a local session, as in tests; on a cluster it is an error, since executors
+    would not see each other's files.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     found = "file://" + tempfile.mkdtemp(prefix="docloom-")
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-#: Rows that may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that may be broadcast; larger sides are shuffled.
+BROADCAST_BYTES = 16_000_000
+
 
+def _width(name: str, kind: str) -> Column:
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if kind.startswith("array"):
+        return 8 * F.greatest(F.size(name), F.lit(0)) + 32
+    return F.lit(8)
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A hint to broadcast ``df`` if it is counted to have no more than ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of ``df`` (columns of fixed width, strings, binaries, arrays of those) take no more than ``most`` bytes.
+
+    One aggregation, partial in every task; ``df`` should be a written table.
+    """
+    width = F.lit(16)
+    for name, kind in df.dtypes:
+        width = width + _width(name, kind)
+    return (df.agg(F.sum(width.cast("long")).alias("n")).first()["n"] or 0) <= most
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A hint to broadcast ``df`` if it is measured to be small."""
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 class Scratch:
     """Tables written as Parquet in the shared folder, which cuts lineage: a lost executor costs a reread, not a rerun.
 
-    ``drop`` removes a table that no unfinished plan reads any more.
+    ``drop`` removes a table that no unfinished plan reads any more; ``drop_all`` all but those named. What a returned plan
+    still reads stays: its caller reads it after the function has ended.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.kept: list[DataFrame] = []
         self.count = 0
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -45,6 +73,7 @@ class Scratch:
         path = f"{self.base}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append(back)
         self.paths[id(back)] = path
         return back
 
@@ -52,10 +81,14 @@ class Scratch:
         for df in tables:
             path = self.paths.pop(id(df), None)
             if path:
+                self.kept = [x for x in self.kept if x is not df]
                 jvm = self.spark._jvm
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def drop_all(self, *but: DataFrame) -> None:
+        self.drop(*[x for x in self.kept if all(x is not y for y in but)])
+
 
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b: bigint); component is the smallest node reachable.

@@ -1,36 +1,41 @@
 """Line dedup with DataFrame functions only: fuzzy lines by MinHash.
 
 A line's shingles of ``SHINGLE`` characters are hashed once; one-permutation MinHash keeps the minimum of each of ``BINS``
-residue classes of the hash. Bands of three minima are the tokens under which lines meet; pairs are verified by the exact
+residue classes of the hash. Bands of ``BAND`` minima are the tokens under which lines meet; pairs are verified by the exact
 Jaccard similarity of their shingle sets, and distributed union-find leaves one line per component.
 
-Hashing, binning and taking minima is one generated loop with map-side combine on the line's own hash, so equal lines
-merge before anything is shuffled, and texts are not shuffled for it.
+Hashing and taking minima is one generated loop with map-side combine under the line's own 128-bit identity, so equal lines
+merge before anything is shuffled, and texts are not shuffled for it. Lines that share a token are first verified against
+their token's most connected line, which for near copies of one line is most often that line itself; only pairs that are then
+still in different components are looked at again. No pair leaves a join but those that pass a filter or are links.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_ROWS, Scratch, if_small
-from docloom.llm.linking import link
+from docloom.llm.common import Scratch, connected_components, if_small
 
-SHINGLE, BINS, BAND = 8, 30, 3
-#: Of a long line only the smallest hashes, about so many, can hold a minimum; larger ones are not looked at. The cut
-#: is on the hash, so lines of any length agree on it.
-KEPT_PER_BIN = 10
+SHINGLE, BINS, BAND, PARTS = 8, 24, 3, 4
+#: Of a long line only the smallest hashes, about so many, are looked at, and the first ``FIRST`` whatever they are: a line that
+#: repeats few shingles over and over has them there. The cut is on the hash, so lines of any length agree on it.
+KEPT, FIRST = 60, 24
 #: Of the bins of two linked lines, so many agree at least (empty bins agree): four deviations below the mean.
 LEAST_BINS = math.floor(BINS * 0.8 - 4 * math.sqrt(BINS * 0.8 * 0.2))
 BLANK = " \t\r\x0b\x0c"
-#: Four bits of each minimum, in two words.
+#: Five bits of each minimum, twelve minima to a word.
+_BITS = 5
 _HALF = BINS // 2
-_ONES = sum(1 << (4 * i) for i in range(_HALF))
-#: Bins of the sketches that lines in large groups are compared by.
-WIDE = 64
+_ONES = sum(1 << (_BITS * i) for i in range(_HALF))
+#: Bins of the sketches that lines are compared by before their texts are, eight bits each, eight to a word.
+WIDE = 128
 _ONES8 = sum(1 << (8 * i) for i in range(8))
+#: Pairs in token groups of up to so many lines are joined in one piece; larger groups in blocks of about ``BLOCK_SHINGLES``.
+LARGE, BLOCK_SHINGLES = 64, 400_000
 
 
 def _units(line: Column) -> Column:
@@ -46,97 +51,171 @@ def _shingle_hashes(line: Column) -> Column:
     """Distinct shingle hashes of a line; a shorter line is one shingle."""
 
     def of(units: Column) -> Column:
-        last = F.greatest(F.floor(F.length(units) / 2).cast("int") - SHINGLE, F.lit(0))
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(units, i * 2 + 1, F.lit(2 * SHINGLE)))))
+        last = F.greatest(F.length(units) - 2 * SHINGLE + 1, F.lit(1))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), last, F.lit(2)), lambda i: F.xxhash64(F.substring(units, i, F.lit(2 * SHINGLE)))))
 
     return _once(_units(line), of)
 
 
-def _similar(a: Column, b: Column, percent: int) -> Column:
-    """Whether the Jaccard similarity of two sets is ``percent`` / 100 or more."""
-
-    def sized(s: Column) -> Column:
-        return _once(F.size(F.array_intersect(s["a"], s["b"])), lambda both: 100 * both >= percent * (F.size(s["a"]) + F.size(s["b"]) - both))
-
-    return _once(F.struct(a.alias("a"), b.alias("b")), sized)
+def _enough(a: Column, b: Column, percent: int) -> Column:
+    """Whether the Jaccard similarity of two arrays of distinct hashes is ``percent`` / 100 or more."""
+    both = F.size(F.array_intersect(a, b))
+    return (100 * F.least(F.size(a), F.size(b)) >= percent * F.greatest(F.size(a), F.size(b))) & ((100 + percent) * both >= percent * (F.size(a) + F.size(b)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, pos, line, node) of lines that are not blank; node is the hash of the trimmed line."""
+    """(doc_id, th, pos, line, k1, k2) of lines that are not blank; k1 and k2 are two hashes of the trimmed line.
+
+    The lowest bits of k2 are free, so the pair is an identity of 126 bits.
+    """
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    return base.withColumn("line", F.trim("line", F.lit(BLANK))).where("line != ''").withColumn("node", F.xxhash64("line"))
+    line = base.withColumn("line", F.trim("line", F.lit(BLANK))).where("line != ''")
+    return line.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line").bitwiseAND(F.lit(-PARTS)))
 
 
-def _minima(units: DataFrame, cut: Column) -> DataFrame:
-    """(node, n, m0 ...): the least hash up to ``cut`` in each bin of every distinct line; ``n`` counts its units."""
-    one = units.select("node", "u", "n", cut.alias("cut"), F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - SHINGLE, F.lit(0)))).alias("i"))
-    hashed = one.select("node", "n", "cut", "i", F.xxhash64(F.substring("u", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("h")).where("h <= cut or i = 0")
-    binned = hashed.select("node", "n", "h", F.when(F.col("h") <= F.col("cut"), F.pmod("h", F.lit(BINS))).cast("int").alias("bin"))
-    return binned.groupBy("node").agg(F.max("n").alias("n"), *[F.min(F.when(F.col("bin") == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)])
+def _hashed(units: DataFrame, *columns: str) -> DataFrame:
+    """A row for every position of the lines ``u`` (``n`` units): ``columns``, the position i, and h, the hash of its shingle."""
+    one = units.select(*columns, "u", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - SHINGLE, F.lit(0)))).alias("i"))
+    return one.select(*columns, "i", F.xxhash64(F.substring("u", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("h"))
 
 
-def _postings(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(token, node, size, bits) of every band of every distinct line.
+def _parts(lines: DataFrame) -> DataFrame:
+    """(k1, k2, copies, t0, b0, t1, b1): a quarter of a distinct line's bands each, numbered in the lowest bits of k2.
 
-    A long line of few distinct shingles may have too few hashes up to the cut: lines that leave a bin empty are done again without it.
+    t: token of a band, null where all its bins are empty; b: five bits of each of its minima; copies: number of equal lines, in one of the rows.
     """
-    units = lines.select("node", _units(F.col("line")).alias("u")).withColumn("n", F.floor(F.length("u") / 2).cast("int"))
-    most = F.lit((1 << 63) - 1)
-    cut = F.when(F.col("n") <= BINS * KEPT_PER_BIN, most).otherwise((F.lit(float(-(1 << 63))) + F.lit(float(1 << 63)) * 2 * (BINS * KEPT_PER_BIN) / F.col("n")).cast("long"))
-    low = scratch.save(_minima(units, cut))
-    empty = (F.col("n") > BINS * KEPT_PER_BIN) & F.greatest(*[F.col(f"m{j}").isNull() for j in range(BINS)])
-    again = scratch.save(low.where(empty).select("node"))
-    if not again.isEmpty():
-        low = low.where(~empty).unionByName(_minima(units.join(if_small(again), "node", "left_semi"), most))
-    sketch = [_sketch(range(h, h + _HALF)) for h in (0, _HALF)]
-    bands = F.array(*[
-        F.when(F.coalesce(*[F.col(f"m{j}") for j in range(b, b + BAND)]).isNotNull(), F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in range(b, b + BAND)]))
-        for b in range(0, BINS, BAND)])
-    return low.select("node", sketch[0].alias("size"), sketch[1].alias("bits"), F.explode(bands).alias("token")).where("token is not null").select("token", "node", "size", "bits")
-
-
-def _sketch(bins: range) -> Column:
-    out = F.lit(0).cast("bigint")
-    for i, j in enumerate(bins):
-        out = out.bitwiseOR(F.coalesce(F.shiftleft(F.shiftrightunsigned(F.col(f"m{j}"), 5).bitwiseAND(F.lit(15)), 4 * i), F.lit(0)))
-    return out
+    per = BINS // PARTS
+    units = lines.select("k1", "k2", _units(F.col("line")).alias("u")).withColumn("n", F.floor(F.length("u") / 2).cast("int"))
+    share = F.lit(float(1 << 63)) * 2 * KEPT / F.col("n")
+    cut = F.when(F.col("n") <= KEPT, F.lit((1 << 63) - 1)).otherwise((F.lit(float(-(1 << 63))) + share).cast("long"))
+    kept = _hashed(units.withColumn("cut", cut), "k1", "k2", "cut").where((F.col("h") <= F.col("cut")) | (F.col("i") < FIRST))
+    kept = kept.select("k1", "k2", "i", F.shiftright("h", 32).cast("int").alias("v"), F.pmod("h", F.lit(BINS)).cast("int").alias("bin"))
+    dealt = kept.select("k1", F.col("k2").bitwiseOR(F.floor(F.col("bin") / per)).alias("k2"), "i", "v", F.pmod("bin", F.lit(per)).alias("bin"))
+    low = dealt.groupBy("k1", "k2").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("copies"), *[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(per)])
+    out = [F.col("k1"), F.col("k2"), F.col("copies")]
+    for band in range(per // BAND):
+        m = [F.col(f"m{j}") for j in range(band * BAND, (band + 1) * BAND)]
+        number = F.col("k2").bitwiseAND(F.lit(PARTS - 1)) * (per // BAND) + band
+        out.append(F.when(F.coalesce(*m).isNotNull(), F.xxhash64(number, *[F.coalesce(x, F.lit(-1)) for x in m])).alias(f"t{band}"))
+        bits = [F.coalesce(F.shiftleft(F.shiftrightunsigned(x, 5).bitwiseAND(F.lit(31)), _BITS * k), F.lit(0)) for k, x in enumerate(m)]
+        out.append(reduce(lambda x, y: x.bitwiseOR(y), bits).alias(f"b{band}"))
+    return low.select(*out)
+
+
+def _posted(parts: DataFrame) -> DataFrame:
+    """(k1, k2, band, bits, token) of every band."""
+    many = BINS // PARTS // BAND
+    number = F.col("k2").bitwiseAND(F.lit(PARTS - 1)).cast("int") * many
+    bands = F.array(*[F.struct((number + b).alias("band"), F.col(f"b{b}").alias("bits"), F.col(f"t{b}").alias("token")) for b in range(many)])
+    return parts.select("k1", F.col("k2").bitwiseAND(F.lit(-PARTS)).alias("k2"), F.inline(bands)).where("token is not null")
 
 
 def _differ(a: Column, b: Column) -> Column:
-    """Bins whose four bits differ, of one word of the sketches."""
+    """Bins whose bits differ, of one word of the sketches."""
     x = a.bitwiseXOR(b)
-    for s in (2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, s))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseOR(F.shiftrightunsigned(x, 4))
     return F.bit_count(x.bitwiseAND(F.lit(_ONES)))
 
 
-def _may_link(sa: Column, ba: Column, sb: Column, bb: Column) -> Column:
-    return _differ(sa, sb) + _differ(ba, bb) <= BINS - LEAST_BINS
+def _may_link(lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:
+    return _differ(lo, lo2) + _differ(hi, hi2) <= BINS - LEAST_BINS
+
+
+def _shift(x: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", x.cast("bigint"), by.cast("int"))
 
 
 def _wide(texts: DataFrame) -> DataFrame:
-    """(node, n, filled, w0 ...): distinct shingles, which of ``WIDE`` bins they fill, and eight bits of each bin's minimum, eight bins to a word."""
-    rows = texts.select("node", F.explode(_shingle_hashes(F.col("line"))).alias("h"))
-    low = rows.groupBy("node", F.pmod(F.shiftright("h", 8), F.lit(WIDE)).cast("int").alias("bin")).agg(F.min("h").alias("m"), F.count(F.lit(1)).alias("k"))
-    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
-    byte = F.call_function("shiftleft", F.shiftrightunsigned("m", 24).bitwiseAND(F.lit(255)), 8 * F.pmod("bin", F.lit(8)))
+    """(node, f0, f1, w0 ...): which of ``WIDE`` bins a line's shingles fill, and eight bits of each bin's minimum."""
+    dealt = texts.repartition("node").select("node", _units(F.col("line")).alias("u")).withColumn("n", F.floor(F.length("u") / 2).cast("int"))
+    low = _hashed(dealt, "node").groupBy("node", F.pmod(F.shiftright("h", 8), F.lit(WIDE)).cast("int").alias("bin")).agg(F.min("h").alias("m"))
+    byte = _shift(F.shiftrightunsigned("m", 24).bitwiseAND(F.lit(255)), 8 * F.pmod("bin", F.lit(8)))
+    zero = F.lit(0).cast("bigint")
+    word = lambda value, at, w: F.coalesce(F.bit_or(F.when(F.floor(F.col("bin") / at) == w, value)), zero)
     return low.groupBy("node").agg(
-        F.sum("k").alias("n"), F.bit_or(bit(F.col("bin"))).alias("filled"),
-        *[F.coalesce(F.bit_or(F.when(F.floor(F.col("bin") / 8) == w, byte)), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WIDE // 8)])
+        *[word(_shift(F.lit(1), F.pmod("bin", F.lit(64))), 64, w).alias(f"f{w}") for w in range(WIDE // 64)], *[word(byte, 8, w).alias(f"w{w}") for w in range(WIDE // 8)])
+
+
+WIDE_COLUMNS = [f"f{w}" for w in range(WIDE // 64)] + [f"w{w}" for w in range(WIDE // 8)]
 
 
 def _may_link_wide(percent: int) -> Column:
-    """Whether sizes and wide sketches of a pair allow a link; the bound is four deviations below the mean."""
-    agree = F.lit(0)
+    """Whether the wide sketches of a pair (prefixes a_ and b_) allow a link; the bound is four deviations below the mean."""
+    differ, either = F.lit(0), F.lit(0)
     for w in range(WIDE // 8):
         x = F.col(f"a_w{w}").bitwiseXOR(F.col(f"b_w{w}"))
         for s in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, s).bitwiseAND(F.lit(_ONES8 * ((1 << (8 - s)) - 1))))
-        agree = agree + 8 - F.bit_count(x.bitwiseAND(F.lit(_ONES8)))
-    either = F.bit_count(F.col("a_filled").bitwiseOR(F.col("b_filled")))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(_ONES8)))
+    for w in range(WIDE // 64):
+        either = either + F.bit_count(F.col(f"a_f{w}").bitwiseOR(F.col(f"b_f{w}")))
     share = percent / 100
     least = [max(0, math.floor(u * share - 4 * math.sqrt(u * share * (1 - share)))) for u in range(WIDE + 1)]
-    return (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (agree - (WIDE - either) >= F.element_at(F.array(*[F.lit(x) for x in least]), either + 1))
+    return either - differ >= F.element_at(F.array(*[F.lit(x) for x in least]), either + 1)
+
+
+def _blocked(groups: DataFrame, texts: DataFrame, wide: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of the lines outside a large group's main component with the group, compared in blocks; only links leave the join.
+
+    ``groups``: (main, node, comp).
+    """
+    sets = scratch.save(texts.join(if_small(groups.select("node").distinct()), "node", "left_semi").select("node", _shingle_hashes(F.col("line")).alias("s")))
+    full = scratch.save(groups.join(wide, "node").join(sets.select("node", F.size("s").alias("size")), "node"))
+    outside = F.col("comp") != F.col("main")
+    number = lambda size: F.ceil(F.coalesce(F.sum(size), F.lit(0)) / BLOCK_SHINGLES).cast("int")
+    blocks = full.groupBy("main").agg(number(F.when(outside, F.col("size"))).alias("bi"), number(F.col("size")).alias("bj")).where("bi > 0")
+    dealt = full.join(if_small(scratch.save(blocks)), "main").join(sets, "node")
+    of = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda df, x, i, j: df.select("main", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "s", *WIDE_COLUMNS)])
+    a, b = side(dealt.where(outside), "a", of("bi"), every("bj")), side(dealt, "b", every("bi"), of("bj"))
+    once = (F.col("b_comp") == F.col("main")) | (F.col("a_node") < F.col("b_node"))
+    linked = a.join(b, ["main", "i", "j"]).where((F.col("a_comp") != F.col("b_comp")) & once & _may_link_wide(percent) & _enough(F.col("a_s"), F.col("b_s"), percent))
+    return linked.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def _components(posts: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of all nodes that have a link. ``posts``: (token, node, w, lo, hi); ``texts``: (node, line)."""
+    spark = posts.sparkSession
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"l{x}"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(if_small(side("b")), "b").join(if_small(side("a")), "a")
+        full = full.select("a", "b", _once(F.struct(_shingle_hashes(F.col("la")).alias("a"), _shingle_hashes(F.col("lb")).alias("b")), lambda s: _enough(s["a"], s["b"], percent)).alias("ok"))
+        return full.where("ok").select("a", "b")
+
+    centre = posts.groupBy("token").agg(F.max(F.struct("w", "node", "lo", "hi")).alias("c")).select("token", "c.*").toDF("token", "_w", "centre", "_lo", "_hi")
+    star = posts.join(centre, "token").where((F.col("node") != F.col("centre")) & _may_link(F.col("lo"), F.col("hi"), F.col("_lo"), F.col("_hi")))
+    links = scratch.save(verify(star.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()))
+    first = scratch.save(connected_components(spark, links, scratch))
+
+    labelled = posts.select("token", "node", "lo", "hi").join(if_small(first), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    counts = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("rows")).where("comps > 1")
+    mixed = scratch.save(labelled.join(groups.select("token", "rows", F.col("top.comp").alias("main")), "token"))
+    some = mixed.select("node").distinct()
+    wide = scratch.save(_wide(texts.join(some, "node", "left_semi")))
+    few = mixed.where(F.col("rows") <= LARGE).join(if_small(wide), "node")
+    named = lambda x: few.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "main", "lo", "hi", *WIDE_COLUMNS)])
+    once = (F.col("b_comp") == F.col("b_main")) | (F.col("a_node") < F.col("b_node"))
+    met = named("a").where("a_comp != a_main").join(named("b"), "token").where(
+        (F.col("a_comp") != F.col("b_comp")) & once & _may_link(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi")) & _may_link_wide(percent))
+    more = scratch.save(verify(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()))
+    many = scratch.save(mixed.where(F.col("rows") > LARGE).groupBy("main", "node").agg(F.min("comp").alias("comp")))
+    if not many.isEmpty():
+        more = more.unionByName(scratch.save(_blocked(many, texts, wide, percent, scratch)))
+    return _merged(first, more, scratch)
+
+
+def _merged(first: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components of ``first`` (node, component) once ``links`` (a, b) are added."""
+    known = if_small(first)
+    part = lambda df, x: df.join(known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(x, F.coalesce(f"c{x}", x)).drop(f"c{x}")
+    edges = part(part(links, "a"), "b").where("a != b")
+    joined = scratch.save(connected_components(first.sparkSession, edges, scratch)).toDF("component", "now")
+    old = first.join(if_small(joined), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = joined.select(F.col("component").alias("node"), F.col("now").alias("component")).join(known, "node", "left_anti")
+    return scratch.save(old.unionByName(new))
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,48 +223,49 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
 
     Of each component of similar lines (equal ones included) the first by (doc_id, position) stays.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     lines = _lines(docs, id_col, text_col)
+    parts = scratch.save(_parts(lines))
+    often = scratch.save(_posted(parts).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = scratch.save(_posted(parts).join(if_small(often), "token"))
+    copied = parts.where("copies > 1").select("k1", F.col("k2").bitwiseAND(F.lit(-PARTS)).alias("k2"), F.lit(0).alias("near"))
+    known = shared.select("k1", "k2", F.lit(1).alias("near")).unionByName(copied).groupBy("k1", "k2").agg(F.max("near").alias("near"))
+    known = scratch.save(known.withColumn("node", F.monotonically_increasing_id()))
+    scratch.drop(parts)
+    found = if_small(known)
+    spots = scratch.save(lines.join(found, ["k1", "k2"]).select("doc_id", "th", "pos", "node", F.when(F.col("near") == 1, F.col("line")).alias("line")))
+
+    half = BINS // BAND // 2
+    word = lambda w: F.coalesce(F.bit_or(F.when(F.floor(F.col("band") / half) == w, _shift(F.col("bits"), BAND * _BITS * F.pmod("band", F.lit(half))))), F.lit(0).cast("bigint"))
+    posts = shared.join(found, ["k1", "k2"]).select("token", "node", "n", "band", "bits")
+    nodes = posts.groupBy("node").agg(F.sum("n").alias("w"), word(0).alias("lo"), word(1).alias("hi"))
+    posts = scratch.save(posts.select("token", "node").join(nodes, "node"))
+    texts = scratch.save(spots.where("line is not null").groupBy("node").agg(F.first("line").alias("line")))
+    component = _components(posts, texts, percent, scratch)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs)
-        ends = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        texts = scratch.save(lines.select("node", "line").join(if_small(ends), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line")))
-        ends = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-        return ends.where(_similar(_shingle_hashes(F.col("la")), _shingle_hashes(F.col("lb")), percent)).select("a", "b")
-
-    def dense(groups: DataFrame) -> DataFrame:
-        some = scratch.save(groups.select("node").distinct())
-        texts = lines.select("node", "line").join(if_small(some), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
-        full = scratch.save(groups.select("main", "node", "comp").join(_wide(texts), "node"))
-        side = lambda x: full.select("main", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in full.columns[2:]])
-        a, b = side("a").where("a_comp != main"), side("b")
-        pairs = a.join(b, "main").where((F.col("a_comp") != F.col("b_comp")) & _may_link_wide(percent))
-        return verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    linked = link(spark, scratch, _postings(lines, scratch), verify, _may_link, dense)
-    spots = scratch.save(lines.select("doc_id", "th", "pos", "node"))
-    often = spots.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    groups = scratch.save(often.join(linked, "node", "full_outer").select("node", F.coalesce("component", "node").alias("component")))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos", "th")
-    several = spots.join(if_small(groups), "node").select("doc_id", "th", "pos", "component", rank.alias("rank"))
-    first = several.groupBy("component").agg(F.min("rank").alias("first"))
+    several = spots.select("doc_id", "th", "pos", "node").join(if_small(component), "node", "left").select("doc_id", "th", "pos", F.coalesce("component", "node").alias("component"), rank.alias("rank"))
+    first = several.groupBy("component").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     gone = several.join(first, "component").where("rank != first")
-    return scratch.save(gone.groupBy("doc_id", "th").agg(F.array_distinct(F.collect_list("pos")).alias("gone")))
+    gone = scratch.save(gone.groupBy("doc_id", "th").agg(F.array_distinct(F.collect_list("pos")).alias("gone")))
+    scratch.drop_all(gone)
+    return gone
 
 
 def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     gone = repeated_lines(docs, percent, id_col, text_col).select(F.col("doc_id").alias("_docloom_id"), F.col("th").alias("_docloom_th"), F.col("gone").alias("_docloom_gone"))
     same = docs[id_col].eqNullSafe(F.col("_docloom_id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("_docloom_th"))
-    return docs.join(if_small(gone, BROADCAST_ROWS // 4), same, "left")
+    return docs.join(if_small(gone), same, "left")
 
 
 def _kept(text: Column, gone: Column) -> Column:
     """The text without the lines at the positions ``gone``. Positions are subtracted as a set: one pass, however many."""
-    parts = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+
+    def left(parts: Column) -> Column:
+        at = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+        return F.array_join(F.transform(at, lambda i: F.get(parts, i)), "\n")
+
+    return F.when(gone.isNull(), text).otherwise(_once(F.split(text, "\n"), left))
 
 
 def drop_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,10 +283,11 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
 
     Nulls: a null text stays null, without lines; a null id sorts last. Rows that repeat id and text are treated alike: the
     line that stays, stays in each of them. Columns besides the two named are not read. An empty table gives no rows.
-    Lines are identified by 64-bit hashes.
+    Equal lines are known by 126 bits of hashes, similar ones by their texts.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = _joined(base, percent, "doc_id", "text")
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     return out.select(
-        "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_docloom_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        "doc_id", F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_docloom_gone"), F.lit(0)).cast("long").alias("n_removed"),
         _kept(F.col("text"), F.col("_docloom_gone")).alias("text"))

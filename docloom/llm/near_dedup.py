@@ -26,8 +26,6 @@ _XOR = _rng.integers(0, 1 << 63, COORDS, np.uint64)
 _MUL = _rng.integers(0, 1 << 63, COORDS, np.uint64) | np.uint64(1)
 _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 4096
-#: Documents whose ids may be broadcast to fetch their texts; more are shuffled.
-WANTED_ROWS = 1_000_000
 #: Shingles of either block of documents of a large group that a task compares.
 BLOCK_SHINGLES = 1_000_000
 
@@ -188,7 +186,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     prefix = scratch.save(prefix)
     nodes = scratch.save(heads.join(prefix.select(F.col("node").alias("cls")).distinct(), "cls", "left_semi"))
     postings = prefix.join(nodes.select(F.col("cls").alias("node"), F.col("n").alias("size"), "bits"), "node")
-    wanted = if_small(nodes.select("cls", F.col("doc_id").alias("_d"), F.col("th").alias("_h")), WANTED_ROWS)
+    wanted = if_small(nodes.select("cls", F.col("doc_id").alias("_d"), F.col("th").alias("_h")))
     texts = base.select("doc_id", "th", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("th").eqNullSafe(F.col("_h"))).select("cls", "text")
     sets = scratch.save(texts.mapInArrow(_sets(width), "cls long, found binary"))
     sigs = nodes.select("cls", "sig")

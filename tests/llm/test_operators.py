@@ -165,7 +165,8 @@ def test_line_dedup(spark):
 
 @pytest.mark.parametrize("large", [64, 2])
 def test_line_dedup_many(spark, monkeypatch, large):
-    monkeypatch.setattr(linking, "LARGE", large)
+    monkeypatch.setattr(line_dedup, "LARGE", large)
+    monkeypatch.setattr(line_dedup, "BLOCK_SHINGLES", 5000)
     base = " ".join(words(3, 40))
     rows = [(i, "\n".join(" ".join(edited(base.split(), 10 * i + k, 0.03 * (k % 4))) for k in range(3)) + f"\nline of its own {i * 7919}") for i in range(60)]
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
