@@ -3,31 +3,42 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import filterfalse
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SEQUENCES = PIECES + ", sequence_id long, offset long"
-#: Characters tokenized at once, and distinct words kept by a Python worker (about 200 bytes each).
-CHUNK, KEPT_WORDS = 1_000_000, 800_000
-#: What the tokenizer's own pattern finds in lower-cased printable ASCII without blanks.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Bytes of words and ids that a Python worker keeps; the table is emptied when they are reached.
+KEPT_BYTES = 160_000_000
+#: Fixed value: the tokenizer's own pattern, for lower-cased text.
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Words of no higher characters are put through the pattern here: their composed forms and classes are the same everywhere.
+_LATIN = "\u024f"
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is visible, else one from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
+
+
+_LETTERS = str.maketrans({b: c for b, c in enumerate(_byte_letters())})
 
 
 class WordIds(dict):
-    """Whitespace-separated word -> its ids as little-endian 32-bit bytes.
+    """Blank-separated word -> its ids as little-endian 32-bit bytes.
 
     The tokenizer drops white space, and no rule of it reaches across, so a text's ids are those of its words in
-    order; each distinct word is encoded once per worker. Printable ASCII words go to the tokenizer's model piece by
-    piece, all others through its whole chain. Long words are not kept, and the table is emptied when full.
+    order; each distinct word is encoded once. Printable Latin words go to the tokenizer's model piece by piece, all others
+    through its whole chain. Long words are not kept, and the table is emptied when it is full.
     """
 
     def __init__(self, path: str):
@@ -37,50 +48,30 @@ class WordIds(dict):
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
-
-    def _ascii(self, word: str) -> bytes:
-        out = []
-        low = word.lower()
-        for piece in (low,) if low.isalpha() else _ASCII.findall(low):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                found = [t.id for t in self.model.tokenize(piece)]
-                ids = struct.pack(f"<{len(found)}I", *found)
-                if len(piece) <= 6:
-                    if len(self.pieces) > 100_000:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        # the tokenizer lower-cases, so ASCII texts may be before they are split: fewer distinct words
-        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words: set[str] = set()
-        for x in split:
-            words.update(x)
-        new = list(filterfalse(self.__contains__, words))
-        if len(self) + len(new) > KEPT_WORDS:
-            self.clear()
-            self[""] = b""
-            new = [w for w in words if w]
-        rest = []
-        for w in new:
-            if w.isascii() and w.isprintable() and "<|" not in w:
-                self[w] = self._ascii(w)
-            else:
-                rest.append(w)
-        for i in range(0, len(rest), 20_000):
-            part = rest[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                found = e.ids
-                self[w] = struct.pack(f"<{len(found)}I", *found)
-        get = self.__getitem__
-        out = [b"".join(map(get, x)) for x in split]
-        for w in [w for w in new if len(w) > 64]:
-            del self[w]
-        return out
+        self.held = 0
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isprintable() and "<|" not in word and max(word) <= _LATIN:
+            low = word.lower()
+            found = []
+            for piece in (low,) if low.isalpha() else _PATTERN.findall(low):
+                data = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+                found += [t.id for t in self.model.tokenize(data)]
+        else:
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids
+        ids = struct.pack(f"<{len(found)}I", *found)
+        if len(word) <= 64:
+            if self.held > KEPT_BYTES:
+                self.clear()
+                self[""], self.held = b"", 0
+            self[word] = ids
+            self.held += 180 + 2 * len(word) + len(ids)
+        return ids
+
+    def of(self, text: str) -> bytes:
+        # the tokenizer lower-cases, so an ASCII text may be before it is split: fewer distinct words
+        text = text.lower() if text.isascii() and "<|" not in text else text
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 @lru_cache(maxsize=1)
@@ -94,24 +85,16 @@ def _pieces(tokenizer_path: str, end_id: int, size: int):
         table = word_ids(tokenizer_path)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            at = 0
-            while at < len(ids):
-                stop, chars, some = at, 0, []
-                while stop < len(ids) and (not some or chars < CHUNK):
-                    some.append(texts[stop].as_py() or "")
-                    chars += len(some[-1])
-                    stop += 1
-                rows: list[list[int]] = [[], [], [], [], []]
-                for doc, data in zip(ids[at:stop], table.of(some), strict=True):
-                    data += end
-                    n = len(data) // 4
-                    for s in range(0, n, size):
-                        k = min(size, n - s)
-                        for col, v in zip(rows, (doc, s, k, zlib.crc32(data[4 * s : 4 * (s + k)]), n), strict=True):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-                at = stop
+            texts = batch.column("text")
+            rows: list[list[int]] = [[], [], [], [], [], []]
+            for at, (row, doc) in enumerate(zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
+                data = table.of(texts[at].as_py() or "") + end
+                n = len(data) // 4
+                for s in range(0, n, size):
+                    k = min(size, n - s)
+                    for col, v in zip(rows, (row, doc, s, k, zlib.crc32(data[4 * s : 4 * (s + k)]), n), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
@@ -140,7 +123,7 @@ class FirstFit:
 
 
 def _pack(size: int):
-    def run(key, pieces: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         tree = FirstFit(len(pieces), size)
         placed = [tree.place(n) for n in pieces["length"].tolist()]
@@ -155,16 +138,16 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids (and ``end_id``) are cut at multiples of ``size``; the pieces of about ``group_docs`` documents,
-    grouped by a hash, are packed first-fit decreasing into sequences of ``size``. A group's memory has a fixed
+    grouped by a hash of their place and id, are packed first-fit decreasing into sequences of ``size``. A group's memory has a fixed
     bound on average, and groups are independent, so packing scales with their number. Token ids do not travel.
 
     Nulls: a null text is empty and gives one piece with ``end_id`` alone; a null id is kept. Repeated rows are each packed.
     Ties in length go by id, then start. Columns besides the two named are not read. An empty table gives no rows.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     groups = max(1, -(-base.select("doc_id").count() // group_docs))
-    pieces = base.mapInArrow(_pieces(tokenizer_path, end_id, size), PIECES)
-    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    pieces = base.mapInArrow(_pieces(tokenizer_path, end_id, size), "row long, " + PIECES)
+    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64("row", "doc_id"), F.lit(groups))).drop("row")
     return grouped.groupBy("_group").applyInPandas(_pack(size), SEQUENCES)
 
 
@@ -177,7 +160,7 @@ def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, size: int
             rows = batch.to_pylist()
             out = []
             for r in rows:
-                data = table.of([r["text"] or ""])[0] + end_id.to_bytes(4, "little")
+                data = table.of(r["text"] or "") + end_id.to_bytes(4, "little")
                 ids = memoryview(data).cast("I")
                 out += [dict(sequence_id=p["sequence_id"], doc_id=r["doc_id"], offset=p["offset"], ids=ids[p["start"] : p["start"] + p["length"]].tolist()) for p in r["pieces"]]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("sequence_id", pa.int64()), ("doc_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))]))

@@ -224,7 +224,8 @@ def test_packing(docs, none):
 def test_word_table_equals_the_tokenizer():
     tool = packing.WordIds(VOCABULARY)
     hard = ["it's I'LL we'd 'S x'Ve <|endoftext|>a É́ don’t\x00 ﬁ İstanbul Σς 12,345.67%% [x]__y\x7f\x0b z", "", " \n\t\r", "'''s''t", "a\x1cb", "x" * 5000]
-    for got, want in zip(tool.of(hard), tool.tokenizer.encode_batch(hard, add_special_tokens=False), strict=True):
+    hard += ["Ünïcödé l'ÉTÉ ĐàȚă ñ¿qué? ½ x²y ª µm ǅ Ǆ İx ŉ ſs\xa0b\x85c \xad-", "中文 кот ｆｕｌｌ"]
+    for got, want in zip(map(tool.of, hard), tool.tokenizer.encode_batch(hard, add_special_tokens=False), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == want.ids
 
 
