@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes that may be broadcast; larger sides are shuffled.
-BROADCAST_BYTES = 16_000_000
+BROADCAST_BYTES = 2_000_000
 
 
 def _width(name: str, kind: str) -> Column:

@@ -15,24 +15,29 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, connected_components, if_small
 
-SHINGLE, BINS, BAND, PARTS = 8, 24, 3, 4
+SHINGLE, SIDE = 8, 4
+BINS = SIDE * SIDE
+#: Bins whose minima make a token: rows, columns and diagonals of a square. Two of them share one bin at most, so two lines that are
+#: similar at the threshold have a token in common with a probability of 0.998, and more similar ones almost surely.
+BANDS = [
+    *[[SIDE * i + j for j in range(SIDE)] for i in range(SIDE)], *[[SIDE * i + j for i in range(SIDE)] for j in range(SIDE)],
+    *[[SIDE * i + (k + i) % SIDE for i in range(SIDE)] for k in range(SIDE)],
+]
 #: Of a long line only the smallest hashes, about so many, are looked at, and the first ``FIRST`` whatever they are: a line that
 #: repeats few shingles over and over has them there. The cut is on the hash, so lines of any length agree on it.
-KEPT, FIRST = 60, 24
+KEPT, FIRST = 48, 24
 #: Of the bins of two linked lines, so many agree at least (empty bins agree): four deviations below the mean.
 LEAST_BINS = math.floor(BINS * 0.8 - 4 * math.sqrt(BINS * 0.8 * 0.2))
 BLANK = " \t\r\x0b\x0c"
-#: Five bits of each minimum, twelve minima to a word.
-_BITS = 5
-_HALF = BINS // 2
-_ONES = sum(1 << (_BITS * i) for i in range(_HALF))
-#: Bins of the sketches that lines are compared by before their texts are, eight bits each, eight to a word.
-WIDE = 128
+#: Bits of the sketches that lines are compared by before their texts are, and about the most shingles that set them.
+WIDE, SAMPLE = 1024, 512
+#: Stands for the minimum of an empty bin.
+_NONE = (1 << 31) - 1
 _ONES8 = sum(1 << (8 * i) for i in range(8))
 #: Pairs in token groups of up to so many lines are joined in one piece; larger groups in blocks of about ``BLOCK_SHINGLES``.
 LARGE, BLOCK_SHINGLES = 64, 400_000
@@ -64,13 +69,10 @@ def _enough(a: Column, b: Column, percent: int) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, pos, line, k1, k2) of lines that are not blank; k1 and k2 are two hashes of the trimmed line.
-
-    The lowest bits of k2 are free, so the pair is an identity of 126 bits.
-    """
+    """(doc_id, th, pos, line, k1, k2) of lines that are not blank; k1 and k2, two hashes of the trimmed line, are its identity."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
     line = base.withColumn("line", F.trim("line", F.lit(BLANK))).where("line != ''")
-    return line.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line").bitwiseAND(F.lit(-PARTS)))
+    return line.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
 
 
 def _hashed(units: DataFrame, *columns: str) -> DataFrame:
@@ -79,42 +81,31 @@ def _hashed(units: DataFrame, *columns: str) -> DataFrame:
     return one.select(*columns, "i", F.xxhash64(F.substring("u", F.col("i") * 2 + 1, F.lit(2 * SHINGLE))).alias("h"))
 
 
-def _parts(lines: DataFrame) -> DataFrame:
-    """(k1, k2, copies, t0, b0, t1, b1): a quarter of a distinct line's bands each, numbered in the lowest bits of k2.
+def _signed(lines: DataFrame) -> DataFrame:
+    """(node, k1, k2, copies, lo, hi, tokens) of every distinct line: a number, the line's identity, how often it stands, eight bits of each bin's minimum, and a token for each band.
 
-    t: token of a band, null where all its bins are empty; b: five bits of each of its minima; copies: number of equal lines, in one of the rows.
+    Tokens of empty bands are null. The table is to be written at once, for the numbers to last.
     """
-    per = BINS // PARTS
     units = lines.select("k1", "k2", _units(F.col("line")).alias("u")).withColumn("n", F.floor(F.length("u") / 2).cast("int"))
     share = F.lit(float(1 << 63)) * 2 * KEPT / F.col("n")
     cut = F.when(F.col("n") <= KEPT, F.lit((1 << 63) - 1)).otherwise((F.lit(float(-(1 << 63))) + share).cast("long"))
     kept = _hashed(units.withColumn("cut", cut), "k1", "k2", "cut").where((F.col("h") <= F.col("cut")) | (F.col("i") < FIRST))
     kept = kept.select("k1", "k2", "i", F.shiftright("h", 32).cast("int").alias("v"), F.pmod("h", F.lit(BINS)).cast("int").alias("bin"))
-    dealt = kept.select("k1", F.col("k2").bitwiseOR(F.floor(F.col("bin") / per)).alias("k2"), "i", "v", F.pmod("bin", F.lit(per)).alias("bin"))
-    low = dealt.groupBy("k1", "k2").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("copies"), *[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(per)])
-    out = [F.col("k1"), F.col("k2"), F.col("copies")]
-    for band in range(per // BAND):
-        m = [F.col(f"m{j}") for j in range(band * BAND, (band + 1) * BAND)]
-        number = F.col("k2").bitwiseAND(F.lit(PARTS - 1)) * (per // BAND) + band
-        out.append(F.when(F.coalesce(*m).isNotNull(), F.xxhash64(number, *[F.coalesce(x, F.lit(-1)) for x in m])).alias(f"t{band}"))
-        bits = [F.coalesce(F.shiftleft(F.shiftrightunsigned(x, 5).bitwiseAND(F.lit(31)), _BITS * k), F.lit(0)) for k, x in enumerate(m)]
-        out.append(reduce(lambda x, y: x.bitwiseOR(y), bits).alias(f"b{band}"))
-    return low.select(*out)
-
-
-def _posted(parts: DataFrame) -> DataFrame:
-    """(k1, k2, band, bits, token) of every band."""
-    many = BINS // PARTS // BAND
-    number = F.col("k2").bitwiseAND(F.lit(PARTS - 1)).cast("int") * many
-    bands = F.array(*[F.struct((number + b).alias("band"), F.col(f"b{b}").alias("bits"), F.col(f"t{b}").alias("token")) for b in range(many)])
-    return parts.select("k1", F.col("k2").bitwiseAND(F.lit(-PARTS)).alias("k2"), F.inline(bands)).where("token is not null")
+    low = kept.groupBy("k1", "k2").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("copies"), *[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(BINS)])
+    low = low.select("k1", "k2", "copies", *[F.coalesce(f"m{j}", F.lit(_NONE)).alias(f"m{j}") for j in range(BINS)])
+    m = [F.col(f"m{j}") for j in range(BINS)]
+    word = lambda w: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.shiftrightunsigned(m[8 * w + j], 5).bitwiseAND(F.lit(255)).cast("bigint"), 8 * j) for j in range(8)])
+    some = lambda bins: reduce(lambda x, y: x.bitwiseAND(y), [m[j] for j in bins]) != _NONE
+    tokens = F.array(*[F.when(some(bins), F.xxhash64(F.lit(n), *[m[j] for j in bins])) for n, bins in enumerate(BANDS)])
+    return low.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "copies", word(0).alias("lo"), word(1).alias("hi"), tokens.alias("tokens"))
 
 
 def _differ(a: Column, b: Column) -> Column:
-    """Bins whose bits differ, of one word of the sketches."""
+    """Bins whose bits differ, of one word of eight."""
     x = a.bitwiseXOR(b)
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseOR(F.shiftrightunsigned(x, 4))
-    return F.bit_count(x.bitwiseAND(F.lit(_ONES)))
+    for s in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, s).bitwiseAND(F.lit(_ONES8 * ((1 << (8 - s)) - 1))))
+    return F.bit_count(x.bitwiseAND(F.lit(_ONES8)))
 
 
 def _may_link(lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:
@@ -125,33 +116,47 @@ def _shift(x: Column, by: Column) -> Column:
     return F.call_function("shiftleft", x.cast("bigint"), by.cast("int"))
 
 
+WORDS = WIDE // 64
+WIDE_COLUMNS = ["rate", *[f"w{w}" for w in range(WORDS)]]
+
+
 def _wide(texts: DataFrame) -> DataFrame:
-    """(node, f0, f1, w0 ...): which of ``WIDE`` bins a line's shingles fill, and eight bits of each bin's minimum."""
+    """(node, rate, w0 ...): a bit for every shingle, of long lines for one in 2 ** rate of them, chosen by its hash."""
     dealt = texts.repartition("node").select("node", _units(F.col("line")).alias("u")).withColumn("n", F.floor(F.length("u") / 2).cast("int"))
-    low = _hashed(dealt, "node").groupBy("node", F.pmod(F.shiftright("h", 8), F.lit(WIDE)).cast("int").alias("bin")).agg(F.min("h").alias("m"))
-    byte = _shift(F.shiftrightunsigned("m", 24).bitwiseAND(F.lit(255)), 8 * F.pmod("bin", F.lit(8)))
-    zero = F.lit(0).cast("bigint")
-    word = lambda value, at, w: F.coalesce(F.bit_or(F.when(F.floor(F.col("bin") / at) == w, value)), zero)
-    return low.groupBy("node").agg(
-        *[word(_shift(F.lit(1), F.pmod("bin", F.lit(64))), 64, w).alias(f"f{w}") for w in range(WIDE // 64)], *[word(byte, 8, w).alias(f"w{w}") for w in range(WIDE // 8)])
+    dealt = dealt.withColumn("rate", F.greatest(F.ceil(F.log2(F.col("n") / SAMPLE)), F.lit(0)).cast("int"))
+    some = _hashed(dealt, "node", "rate").where(F.shiftrightunsigned("h", 40).bitwiseAND(_shift(F.lit(1), F.col("rate")) - 1) == 0)
+    at, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)).cast("int"), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63))
+    words = some.select("node", "rate", at.alias("at"), _shift(F.lit(1), bit).alias("bit")).groupBy("node", "rate", "at").agg(F.bit_or("bit").alias("bits"))
+    return words.groupBy("node").agg(F.max("rate").alias("rate"), *[F.coalesce(F.bit_or(F.when(F.col("at") == w, F.col("bits"))), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WORDS)])
 
 
-WIDE_COLUMNS = [f"f{w}" for w in range(WIDE // 64)] + [f"w{w}" for w in range(WIDE // 8)]
+def _least_bits(percent: int, sampled: bool) -> list[int]:
+    """For a number of bits set in either of two sketches, the least number set in both that allows a link.
+
+    Two equal sizes are the worst case at a similarity. Shingles that set the same bit are allowed for; the bound is four
+    deviations below the mean, those of the sample of a long line included.
+    """
+    out, share = [], percent / 100
+    for bits in range(WIDE + 1):
+        union = -WIDE * math.log(1 - min(bits, WIDE - 1) / WIDE)
+        fill = union / WIDE
+        mean = 2 * WIDE * (1 - math.exp(-fill * (1 + share) / 2)) - bits
+        clash = math.sqrt(WIDE * (math.exp(fill) - fill - 1)) * (1 + share) * math.exp(-fill)
+        out.append(max(0, math.floor(mean - 4 * math.hypot(clash, math.sqrt(share * (1 - share) * union) * sampled))))
+    return out
 
 
 def _may_link_wide(percent: int) -> Column:
-    """Whether the wide sketches of a pair (prefixes a_ and b_) allow a link; the bound is four deviations below the mean."""
-    differ, either = F.lit(0), F.lit(0)
-    for w in range(WIDE // 8):
-        x = F.col(f"a_w{w}").bitwiseXOR(F.col(f"b_w{w}"))
-        for s in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, s).bitwiseAND(F.lit(_ONES8 * ((1 << (8 - s)) - 1))))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(_ONES8)))
-    for w in range(WIDE // 64):
-        either = either + F.bit_count(F.col(f"a_f{w}").bitwiseOR(F.col(f"b_f{w}")))
-    share = percent / 100
-    least = [max(0, math.floor(u * share - 4 * math.sqrt(u * share * (1 - share)))) for u in range(WIDE + 1)]
-    return either - differ >= F.element_at(F.array(*[F.lit(x) for x in least]), either + 1)
+    """Whether the wide sketches of a pair (prefixes a_ and b_) allow a link; sketches of different rates, or none, do.
+
+    The expression is kept short: a generated method of more than 8,000 bytes would never be compiled.
+    """
+    count = lambda columns: reduce(lambda x, y: x + y, [F.bit_count(c) for c in columns])
+    both = count([F.col(f"a_w{w}").bitwiseAND(F.col(f"b_w{w}")) for w in range(WORDS)])
+    either = count([F.col(f"a_w{w}").bitwiseOR(F.col(f"b_w{w}")) for w in range(WORDS)])
+    table = F.array(*[F.lit(x) for sampled in (False, True) for x in _least_bits(percent, sampled)])
+    least = F.element_at(table, either + 1 + F.least("a_rate", F.lit(1)) * (WIDE + 1))
+    return F.coalesce((F.col("a_rate") != F.col("b_rate")) | (both >= least), F.lit(True))
 
 
 def _blocked(groups: DataFrame, texts: DataFrame, wide: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -160,7 +165,7 @@ def _blocked(groups: DataFrame, texts: DataFrame, wide: DataFrame, percent: int,
     ``groups``: (main, node, comp).
     """
     sets = scratch.save(texts.join(if_small(groups.select("node").distinct()), "node", "left_semi").select("node", _shingle_hashes(F.col("line")).alias("s")))
-    full = scratch.save(groups.join(wide, "node").join(sets.select("node", F.size("s").alias("size")), "node"))
+    full = scratch.save(groups.join(wide, "node", "left").join(sets.select("node", F.size("s").alias("size")), "node"))
     outside = F.col("comp") != F.col("main")
     number = lambda size: F.ceil(F.coalesce(F.sum(size), F.lit(0)) / BLOCK_SHINGLES).cast("int")
     blocks = full.groupBy("main").agg(number(F.when(outside, F.col("size"))).alias("bi"), number(F.col("size")).alias("bj")).where("bi > 0")
@@ -179,32 +184,48 @@ def _components(posts: DataFrame, texts: DataFrame, percent: int, scratch: Scrat
     spark = posts.sparkSession
     side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"l{x}"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(if_small(side("b")), "b").join(if_small(side("a")), "a")
+    wide = scratch.save(_wide(texts))
+    bits = lambda x: wide.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in WIDE_COLUMNS])
+
+    def verify(pairs: DataFrame, sketched: bool = False) -> DataFrame:
+        if not sketched:
+            pairs = pairs.join(bits("b"), "b", "left").join(bits("a"), "a", "left").where(_may_link_wide(percent)).select("a", "b")
+        full = pairs.join(side("b"), "b").join(side("a"), "a")
         full = full.select("a", "b", _once(F.struct(_shingle_hashes(F.col("la")).alias("a"), _shingle_hashes(F.col("lb")).alias("b")), lambda s: _enough(s["a"], s["b"], percent)).alias("ok"))
         return full.where("ok").select("a", "b")
 
     centre = posts.groupBy("token").agg(F.max(F.struct("w", "node", "lo", "hi")).alias("c")).select("token", "c.*").toDF("token", "_w", "centre", "_lo", "_hi")
     star = posts.join(centre, "token").where((F.col("node") != F.col("centre")) & _may_link(F.col("lo"), F.col("hi"), F.col("_lo"), F.col("_hi")))
     links = scratch.save(verify(star.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()))
-    first = scratch.save(connected_components(spark, links, scratch))
-
-    labelled = posts.select("token", "node", "lo", "hi").join(if_small(first), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    counts = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    groups = counts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("rows")).where("comps > 1")
-    mixed = scratch.save(labelled.join(groups.select("token", "rows", F.col("top.comp").alias("main")), "token"))
-    some = mixed.select("node").distinct()
-    wide = scratch.save(_wide(texts.join(some, "node", "left_semi")))
-    few = mixed.where(F.col("rows") <= LARGE).join(if_small(wide), "node")
+    known = scratch.save(connected_components(spark, links, scratch))
+
+    # lines of a token that have other minima in common, too, stand side by side when sorted by them
+    mixed = scratch.save(_mixed(posts, known))
+    own = Window.partitionBy("token").orderBy("lo", "hi", "node")
+    side_by_side = mixed.select("node", "comp", "lo", "hi", *[F.lag(c).over(own).alias(f"_{c}") for c in ("node", "comp", "lo", "hi")])
+    near = side_by_side.where((F.col("comp") != F.col("_comp")) & _may_link(F.col("lo"), F.col("hi"), F.col("_lo"), F.col("_hi")))
+    known = _merged(known, scratch.save(verify(near.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct())), scratch)
+    scratch.drop(mixed)
+    mixed = scratch.save(_mixed(posts, known))
+
+    few = mixed.where(F.col("rows") <= LARGE).join(wide, "node", "left")
     named = lambda x: few.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "main", "lo", "hi", *WIDE_COLUMNS)])
     once = (F.col("b_comp") == F.col("b_main")) | (F.col("a_node") < F.col("b_node"))
     met = named("a").where("a_comp != a_main").join(named("b"), "token").where(
         (F.col("a_comp") != F.col("b_comp")) & once & _may_link(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi")) & _may_link_wide(percent))
-    more = scratch.save(verify(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()))
+    more = scratch.save(verify(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), True))
     many = scratch.save(mixed.where(F.col("rows") > LARGE).groupBy("main", "node").agg(F.min("comp").alias("comp")))
     if not many.isEmpty():
         more = more.unionByName(scratch.save(_blocked(many, texts, wide, percent, scratch)))
-    return _merged(first, more, scratch)
+    return _merged(known, more, scratch)
+
+
+def _mixed(posts: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of tokens of several components: token, node, lo, hi, comp, the token's rows and its largest component ``main``."""
+    labelled = posts.select("token", "node", "lo", "hi").join(if_small(known), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    counts = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("rows")).where("comps > 1")
+    return labelled.join(groups.select("token", "rows", F.col("top.comp").alias("main")), "token")
 
 
 def _merged(first: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -225,21 +246,15 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     """
     scratch = Scratch(docs.sparkSession)
     lines = _lines(docs, id_col, text_col)
-    parts = scratch.save(_parts(lines))
-    often = scratch.save(_posted(parts).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = scratch.save(_posted(parts).join(if_small(often), "token"))
-    copied = parts.where("copies > 1").select("k1", F.col("k2").bitwiseAND(F.lit(-PARTS)).alias("k2"), F.lit(0).alias("near"))
-    known = shared.select("k1", "k2", F.lit(1).alias("near")).unionByName(copied).groupBy("k1", "k2").agg(F.max("near").alias("near"))
-    known = scratch.save(known.withColumn("node", F.monotonically_increasing_id()))
-    scratch.drop(parts)
-    found = if_small(known)
-    spots = scratch.save(lines.join(found, ["k1", "k2"]).select("doc_id", "th", "pos", "node", F.when(F.col("near") == 1, F.col("line")).alias("line")))
-
-    half = BINS // BAND // 2
-    word = lambda w: F.coalesce(F.bit_or(F.when(F.floor(F.col("band") / half) == w, _shift(F.col("bits"), BAND * _BITS * F.pmod("band", F.lit(half))))), F.lit(0).cast("bigint"))
-    posts = shared.join(found, ["k1", "k2"]).select("token", "node", "n", "band", "bits")
-    nodes = posts.groupBy("node").agg(F.sum("n").alias("w"), word(0).alias("lo"), word(1).alias("hi"))
-    posts = scratch.save(posts.select("token", "node").join(nodes, "node"))
+    signed = scratch.save(_signed(lines))
+    posted = signed.select("node", F.explode("tokens").alias("token")).where("token is not null")
+    often = scratch.save(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = scratch.save(posted.join(if_small(often), "token"))
+    nodes = scratch.save(shared.groupBy("node").agg(F.sum("n").alias("w")))
+    known = scratch.save(signed.drop("tokens").join(if_small(nodes), "node", "left").where("copies > 1 or w is not null"))
+    spots = scratch.save(lines.join(if_small(known.select("k1", "k2", "node", "w")), ["k1", "k2"]).select("doc_id", "th", "pos", "node", F.when(F.col("w").isNotNull(), F.col("line")).alias("line")))
+    posts = scratch.save(shared.select("token", "node").join(if_small(known.select("node", "w", "lo", "hi")), "node"))
+    scratch.drop(signed, often, shared, nodes, known)
     texts = scratch.save(spots.where("line is not null").groupBy("node").agg(F.first("line").alias("line")))
     component = _components(posts, texts, percent, scratch)
 
@@ -283,7 +298,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
 
     Nulls: a null text stays null, without lines; a null id sorts last. Rows that repeat id and text are treated alike: the
     line that stays, stays in each of them. Columns besides the two named are not read. An empty table gives no rows.
-    Equal lines are known by 126 bits of hashes, similar ones by their texts.
+    Equal lines are known by 128 bits of hashes, similar ones by their texts.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = _joined(base, percent, "doc_id", "text")
