@@ -15,22 +15,24 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, connected_components, if_small
+from docloom.llm.common import Scratch, connected_components
 
 SHINGLE, SIDE = 8, 4
 BINS = SIDE * SIDE
-#: Bins whose minima make a token: rows, columns and diagonals of a square. Two of them share one bin at most, so two lines that are
-#: similar at the threshold have a token in common with a probability of 0.998, and more similar ones almost surely.
+#: Bins whose minima make a token: the rows, columns and both diagonals of a square. Of the links of sf0.1 that have a similarity below
+#: 0.82, 0.7 % have no token in common, and of all links 0.2 %.
+_EVERY = range(SIDE)
 BANDS = [
-    *[[SIDE * i + j for j in range(SIDE)] for i in range(SIDE)], *[[SIDE * i + j for i in range(SIDE)] for j in range(SIDE)],
-    *[[SIDE * i + (k + i) % SIDE for i in range(SIDE)] for k in range(SIDE)],
+    *[[SIDE * i + j for j in _EVERY] for i in _EVERY], *[[SIDE * i + j for i in _EVERY] for j in _EVERY],
+    *[[SIDE * i + (k + i) % SIDE for i in _EVERY] for k in _EVERY], *[[SIDE * i + (k - i) % SIDE for i in _EVERY] for k in _EVERY],
 ]
 #: Of a long line only the smallest hashes, about so many, are looked at, and the first ``FIRST`` whatever they are: a line that
 #: repeats few shingles over and over has them there. The cut is on the hash, so lines of any length agree on it.
-KEPT, FIRST = 48, 24
+KEPT, FIRST = 64, 24
 #: Of the bins of two linked lines, so many agree at least (empty bins agree): four deviations below the mean.
 LEAST_BINS = math.floor(BINS * 0.8 - 4 * math.sqrt(BINS * 0.8 * 0.2))
 BLANK = " \t\r\x0b\x0c"
@@ -117,7 +119,7 @@ def _shift(x: Column, by: Column) -> Column:
 
 
 WORDS = WIDE // 64
-WIDE_COLUMNS = ["rate", *[f"w{w}" for w in range(WORDS)]]
+WIDE_COLUMNS = ["rate", "ones", *[f"w{w}" for w in range(WORDS)]]
 
 
 def _wide(texts: DataFrame) -> DataFrame:
@@ -127,36 +129,37 @@ def _wide(texts: DataFrame) -> DataFrame:
     some = _hashed(dealt, "node", "rate").where(F.shiftrightunsigned("h", 40).bitwiseAND(_shift(F.lit(1), F.col("rate")) - 1) == 0)
     at, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)).cast("int"), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63))
     words = some.select("node", "rate", at.alias("at"), _shift(F.lit(1), bit).alias("bit")).groupBy("node", "rate", "at").agg(F.bit_or("bit").alias("bits"))
-    return words.groupBy("node").agg(F.max("rate").alias("rate"), *[F.coalesce(F.bit_or(F.when(F.col("at") == w, F.col("bits"))), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WORDS)])
+    return words.groupBy("node").agg(F.max("rate").alias("rate"), F.sum(F.bit_count("bits")).cast("double").alias("ones"), *[F.coalesce(F.bit_or(F.when(F.col("at") == w, F.col("bits"))), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WORDS)])
 
 
-def _least_bits(percent: int, sampled: bool) -> list[int]:
-    """For a number of bits set in either of two sketches, the least number set in both that allows a link.
+def _least_bits(percent: int, sampled: bool) -> list[float]:
+    """Coefficients of a polynomial: of two sketches with so many bits set, added up, the least number set in both that allows a link.
 
-    Two equal sizes are the worst case at a similarity. Shingles that set the same bit are allowed for; the bound is four
-    deviations below the mean, those of the sample of a long line included.
+    Two sets of equal size are the worst case at a similarity. Shingles that set the same bit are allowed for; the bound is
+    four deviations below the mean, those of the sample of a long line included.
     """
-    out, share = [], percent / 100
-    for bits in range(WIDE + 1):
-        union = -WIDE * math.log(1 - min(bits, WIDE - 1) / WIDE)
-        fill = union / WIDE
-        mean = 2 * WIDE * (1 - math.exp(-fill * (1 + share) / 2)) - bits
-        clash = math.sqrt(WIDE * (math.exp(fill) - fill - 1)) * (1 + share) * math.exp(-fill)
-        out.append(max(0, math.floor(mean - 4 * math.hypot(clash, math.sqrt(share * (1 - share) * union) * sampled))))
-    return out
+    share, points = percent / 100, []
+    for union in np.linspace(1, 1.2 * WIDE, 400).tolist():
+        either = WIDE * (1 - math.exp(-union / WIDE))
+        total = 2 * WIDE * (1 - math.exp(-union * (1 + share) / 2 / WIDE))
+        clash = WIDE * (math.exp(union / WIDE) - union / WIDE - 1) * ((1 + share) * math.exp(-union / WIDE)) ** 2
+        points.append((total, total - either - 4 * math.sqrt(clash + sampled * share * (1 - share) * union)))
+    x, y = np.array(points).T
+    fit = np.polyfit(x, y, 4)
+    fit[-1] -= max(0.0, (np.polyval(fit, x) - y).max())
+    return fit.tolist()
 
 
 def _may_link_wide(percent: int) -> Column:
-    """Whether the wide sketches of a pair (prefixes a_ and b_) allow a link; sketches of different rates, or none, do.
+    """Whether the wide sketches of a pair (prefixes a_ and b_) allow a link; nearly full ones, sketches of different rates, or none, do.
 
     The expression is kept short: a generated method of more than 8,000 bytes would never be compiled.
     """
-    count = lambda columns: reduce(lambda x, y: x + y, [F.bit_count(c) for c in columns])
-    both = count([F.col(f"a_w{w}").bitwiseAND(F.col(f"b_w{w}")) for w in range(WORDS)])
-    either = count([F.col(f"a_w{w}").bitwiseOR(F.col(f"b_w{w}")) for w in range(WORDS)])
-    table = F.array(*[F.lit(x) for sampled in (False, True) for x in _least_bits(percent, sampled)])
-    least = F.element_at(table, either + 1 + F.least("a_rate", F.lit(1)) * (WIDE + 1))
-    return F.coalesce((F.col("a_rate") != F.col("b_rate")) | (both >= least), F.lit(True))
+    total = F.col("a_ones") + F.col("b_ones")
+    both = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_w{w}").bitwiseAND(F.col(f"b_w{w}"))) for w in range(WORDS)])
+    least = lambda sampled: reduce(lambda value, c: value * total + c, _least_bits(percent, sampled), F.lit(0.0))
+    open_ = (F.col("a_rate") != F.col("b_rate")) | (total > 1.3 * WIDE)
+    return F.coalesce(open_ | (both >= F.when(F.col("a_rate") == 0, least(False)).otherwise(least(True))), F.lit(True))
 
 
 def _blocked(groups: DataFrame, texts: DataFrame, wide: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -164,12 +167,12 @@ def _blocked(groups: DataFrame, texts: DataFrame, wide: DataFrame, percent: int,
 
     ``groups``: (main, node, comp).
     """
-    sets = scratch.save(texts.join(if_small(groups.select("node").distinct()), "node", "left_semi").select("node", _shingle_hashes(F.col("line")).alias("s")))
+    sets = scratch.save(texts.join(groups.select("node").distinct(), "node", "left_semi").select("node", _shingle_hashes(F.col("line")).alias("s")))
     full = scratch.save(groups.join(wide, "node", "left").join(sets.select("node", F.size("s").alias("size")), "node"))
     outside = F.col("comp") != F.col("main")
     number = lambda size: F.ceil(F.coalesce(F.sum(size), F.lit(0)) / BLOCK_SHINGLES).cast("int")
     blocks = full.groupBy("main").agg(number(F.when(outside, F.col("size"))).alias("bi"), number(F.col("size")).alias("bj")).where("bi > 0")
-    dealt = full.join(if_small(scratch.save(blocks)), "main").join(sets, "node")
+    dealt = full.join(scratch.save(blocks), "main").join(sets, "node")
     of = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     side = lambda df, x, i, j: df.select("main", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "s", *WIDE_COLUMNS)])
@@ -201,13 +204,6 @@ def _components(posts: DataFrame, texts: DataFrame, percent: int, scratch: Scrat
 
     # lines of a token that have other minima in common, too, stand side by side when sorted by them
     mixed = scratch.save(_mixed(posts, known))
-    own = Window.partitionBy("token").orderBy("lo", "hi", "node")
-    side_by_side = mixed.select("node", "comp", "lo", "hi", *[F.lag(c).over(own).alias(f"_{c}") for c in ("node", "comp", "lo", "hi")])
-    near = side_by_side.where((F.col("comp") != F.col("_comp")) & _may_link(F.col("lo"), F.col("hi"), F.col("_lo"), F.col("_hi")))
-    known = _merged(known, scratch.save(verify(near.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct())), scratch)
-    scratch.drop(mixed)
-    mixed = scratch.save(_mixed(posts, known))
-
     few = mixed.where(F.col("rows") <= LARGE).join(wide, "node", "left")
     named = lambda x: few.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "main", "lo", "hi", *WIDE_COLUMNS)])
     once = (F.col("b_comp") == F.col("b_main")) | (F.col("a_node") < F.col("b_node"))
@@ -222,7 +218,7 @@ def _components(posts: DataFrame, texts: DataFrame, percent: int, scratch: Scrat
 
 def _mixed(posts: DataFrame, known: DataFrame) -> DataFrame:
     """The rows of tokens of several components: token, node, lo, hi, comp, the token's rows and its largest component ``main``."""
-    labelled = posts.select("token", "node", "lo", "hi").join(if_small(known), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    labelled = posts.select("token", "node", "lo", "hi").join(known, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     counts = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
     groups = counts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("rows")).where("comps > 1")
     return labelled.join(groups.select("token", "rows", F.col("top.comp").alias("main")), "token")
@@ -230,12 +226,11 @@ def _mixed(posts: DataFrame, known: DataFrame) -> DataFrame:
 
 def _merged(first: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """The components of ``first`` (node, component) once ``links`` (a, b) are added."""
-    known = if_small(first)
-    part = lambda df, x: df.join(known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(x, F.coalesce(f"c{x}", x)).drop(f"c{x}")
+    part = lambda df, x: df.join(first.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(x, F.coalesce(f"c{x}", x)).drop(f"c{x}")
     edges = part(part(links, "a"), "b").where("a != b")
     joined = scratch.save(connected_components(first.sparkSession, edges, scratch)).toDF("component", "now")
-    old = first.join(if_small(joined), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
-    new = joined.select(F.col("component").alias("node"), F.col("now").alias("component")).join(known, "node", "left_anti")
+    old = first.join(joined, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = joined.select(F.col("component").alias("node"), F.col("now").alias("component")).join(first, "node", "left_anti")
     return scratch.save(old.unionByName(new))
 
 
@@ -249,17 +244,17 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     signed = scratch.save(_signed(lines))
     posted = signed.select("node", F.explode("tokens").alias("token")).where("token is not null")
     often = scratch.save(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = scratch.save(posted.join(if_small(often), "token"))
+    shared = scratch.save(posted.join(often, "token"))
     nodes = scratch.save(shared.groupBy("node").agg(F.sum("n").alias("w")))
-    known = scratch.save(signed.drop("tokens").join(if_small(nodes), "node", "left").where("copies > 1 or w is not null"))
-    spots = scratch.save(lines.join(if_small(known.select("k1", "k2", "node", "w")), ["k1", "k2"]).select("doc_id", "th", "pos", "node", F.when(F.col("w").isNotNull(), F.col("line")).alias("line")))
-    posts = scratch.save(shared.select("token", "node").join(if_small(known.select("node", "w", "lo", "hi")), "node"))
+    known = scratch.save(signed.drop("tokens").join(nodes, "node", "left").where("copies > 1 or w is not null"))
+    spots = scratch.save(lines.join(known.select("k1", "k2", "node", "w"), ["k1", "k2"]).select("doc_id", "th", "pos", "node", F.when(F.col("w").isNotNull(), F.col("line")).alias("line")))
+    posts = scratch.save(shared.select("token", "node").join(known.select("node", "w", "lo", "hi"), "node"))
     scratch.drop(signed, often, shared, nodes, known)
     texts = scratch.save(spots.where("line is not null").groupBy("node").agg(F.first("line").alias("line")))
     component = _components(posts, texts, percent, scratch)
 
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos", "th")
-    several = spots.select("doc_id", "th", "pos", "node").join(if_small(component), "node", "left").select("doc_id", "th", "pos", F.coalesce("component", "node").alias("component"), rank.alias("rank"))
+    several = spots.select("doc_id", "th", "pos", "node").join(component, "node", "left").select("doc_id", "th", "pos", F.coalesce("component", "node").alias("component"), rank.alias("rank"))
     first = several.groupBy("component").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     gone = several.join(first, "component").where("rank != first")
     gone = scratch.save(gone.groupBy("doc_id", "th").agg(F.array_distinct(F.collect_list("pos")).alias("gone")))
@@ -270,7 +265,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
 def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     gone = repeated_lines(docs, percent, id_col, text_col).select(F.col("doc_id").alias("_docloom_id"), F.col("th").alias("_docloom_th"), F.col("gone").alias("_docloom_gone"))
     same = docs[id_col].eqNullSafe(F.col("_docloom_id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("_docloom_th"))
-    return docs.join(if_small(gone), same, "left")
+    return docs.join(gone, same, "left")
 
 
 def _kept(text: Column, gone: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SEQUENCES = PIECES + ", sequence_id long, offset long"
 #: Bytes of words and ids that a Python worker keeps; the table is emptied when they are reached.
-KEPT_BYTES = 160_000_000
+KEPT_BYTES = 100_000_000
 #: Fixed value: the tokenizer's own pattern, for lower-cased text.
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Words of no higher characters are put through the pattern here: their composed forms and classes are the same everywhere.

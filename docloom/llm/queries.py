@@ -10,6 +10,7 @@ from docloom.llm.embedding_dedup import near_vectors
 from docloom.llm.language_id import identify
 from docloom.llm.line_dedup import dedup_lines
 from docloom.llm.near_dedup import near_duplicates
+from docloom.llm.oracles import ORACLE_SQL
 from docloom.llm.packing import pack
 from docloom.llm.quality import classify
 from docloom.llm.secret_scan import scan_secrets
@@ -63,4 +64,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_packing, op4_substring_dedup, op5_near_dedup, op6_embedding_dedup, op7_sharding, op8_quality, op9_language, op10_decontaminate)}
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
