@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, if_small
+from docloom.llm.common import Scratch
 from docloom.llm.near_dedup import ByteWords
 
 ROUNDS, LEAST_WORDS = 4, 4
@@ -271,14 +271,14 @@ def repeated_windows(base: DataFrame, scratch: Scratch, width: int) -> DataFrame
     named = parsed.select("rank", "th", F.explode("names").alias("name"))
     several = named.groupBy("name").agg(F.min("th").alias("first"), F.max("th").alias("last")).where("first < last").select("name")
     several = scratch.save(several)
-    shared = named.join(if_small(several), "name").join(if_small(spare).drop("gone"), ["rank", "th"], "left_anti").groupBy("rank", "th").agg(F.collect_list("name").alias("shared"))
+    shared = named.join(several, "name").join(spare.drop("gone"), ["rank", "th"], "left_anti").groupBy("rank", "th").agg(F.collect_list("name").alias("shared"))
     shared = scratch.save(shared)
-    found = scratch.save(base.join(if_small(shared), ["rank", "th"]).select("rank", "th", "text", "shared").mapInArrow(_candidates(width), f"rank long, th long, {WINDOWS}"))
+    found = scratch.save(base.join(shared, ["rank", "th"]).select("rank", "th", "text", "shared").mapInArrow(_candidates(width), f"rank long, th long, {WINDOWS}"))
     scratch.drop(several, shared)
     lists = parsed.select("rank", "th", "values", "checks", "starts").where(F.size("values") > 0).unionByName(found)
     windows = lists.select("rank", "th", "checks", "starts", F.posexplode("values").alias("_at", "value")).select("rank", "th", "value", F.get("checks", "_at").alias("check"), F.get("starts", "_at").alias("start"))
     earliest = scratch.save(windows.groupBy("value", "check").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("value", "check", "first"))
-    starts = windows.join(if_small(earliest), ["value", "check"]).where(F.col("first") < F.col("rank")).groupBy("rank", "th").agg(F.collect_list("start").alias("starts"))
+    starts = windows.join(earliest, ["value", "check"]).where(F.col("first") < F.col("rank")).groupBy("rank", "th").agg(F.collect_list("start").alias("starts"))
     gone = scratch.save(starts.mapInArrow(_spans, "rank long, th long, gone array<bigint>"))
     gone = scratch.save(gone.join(spare.drop("gone"), ["rank", "th"], "left_anti").unionByName(spare))
     scratch.drop_all(gone)
@@ -291,7 +291,7 @@ def _cut_all(docs: DataFrame, width: int, id_col: str, text_col: str, digest: bo
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("th2"), "text")
     gone = repeated_windows(base.select("rank", "th", "th2", "text"), scratch, width)
-    joined = base.join(if_small(gone), ["rank", "th"], "left").select("doc_id", "text", "gone")
+    joined = base.join(gone, ["rank", "th"], "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(_cut(width, digest), "doc_id long, n_words long, n_removed long, kept string")
 
 
