@@ -207,7 +207,16 @@ def custom_replacements(spark, d):
     return _t(spark, d, "documents").select("doc_id", normalize.replace_all("text", {"the": "THE", "THEr": "ther"}).alias("normalized"))
 
 
-@query()
+def _contractions_sql() -> str:
+    x = "text"
+    for short, full in normalize.CONTRACTIONS.items():
+        first, rest = short[0], short[1:].replace("'", "''")
+        x = _sub(x, rf"\b{first.upper()}(?i:{rest})\b", full.capitalize())
+        x = _sub(x, rf"\b{first}(?i:{rest})\b", full)
+    return x
+
+
+@query(f"SELECT conv_id, turn, {_contractions_sql()} AS normalized FROM conversations")
 def contractions(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", normalize.expand_contractions("text").alias("normalized"))
 
@@ -279,7 +288,20 @@ def chunk_paragraph(spark, d):
     return _chunks(spark, d, chunking.paragraph("text", 2000))
 
 
-@query()
+def _fixed_sql(size: int, overlap: int) -> str:
+    """Window after window: ``cut`` ends one after a blank in its second half, ``b`` is where the last one that was not blank began."""
+    cut = f"""(SELECT CASE WHEN %s + {size} < length(d.text) AND position(' ' IN substr(d.text, %s + {size // 2 + 2}, {size - size // 2 - 1})) > 0
+THEN %s + {size // 2} + 2 + length(regexp_extract(substr(d.text, %s + {size // 2 + 2}, {size - size // 2 - 1}), '(?s)\\A(.*) ', 1)) ELSE %s + {size} END)"""
+    at_cut = lambda at: cut.replace("%s", at)
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, CAST(0 AS BIGINT) AS s, CAST({at_cut('0')} AS BIGINT) AS e, CAST(NULL AS BIGINT) AS b FROM d
+UNION ALL SELECT doc_id, n AS s, CAST({at_cut('n')} AS BIGINT) AS e, b FROM (SELECT doc_id, b, CASE WHEN b IS NULL OR e - {overlap} <= b THEN e ELSE e - {overlap} END AS n FROM (
+SELECT w.doc_id, e, CASE WHEN regexp_matches(substr(d.text, s + 1, e - s), '[^{_W}]') THEN s ELSE b END AS b FROM w JOIN d ON d.doc_id = w.doc_id)) x JOIN d USING (doc_id) WHERE n < length(d.text))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS index, CAST(s AS INTEGER) AS start_char, CAST(e AS INTEGER) AS end_char, {_sql_strip('substr(d.text, s + 1, e - s)')} AS content
+FROM w JOIN d USING (doc_id) WHERE regexp_matches(substr(d.text, s + 1, e - s), '[^{_W}]')"""
+
+
+@query(_fixed_sql(1000, 200))
 def chunk_fixed(spark, d):
     return _chunks(spark, d, chunking.fixed("text", 1000, 200))
 
@@ -289,7 +311,11 @@ def chunk_recursive(spark, d):
     return _chunks(spark, d, chunking.recursive("text", 1000, 200))
 
 
-@query()
+@query(rf"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[{_W}]+|[^{_W}]+') AS ts FROM documents WHERE length(text) > 0),
+w AS (SELECT *, unnest(CASE WHEN len(ts) <= 500 THEN [0] ELSE generate_series(0, CAST(ceil((len(ts) - 500) / 450.0) AS BIGINT) * 450, 450) END) AS f FROM t),
+p AS (SELECT doc_id, f, len(ts) <= 500 AS whole, coalesce(list_sum(list_transform(ts[1:f], lambda x: length(x))), 0) AS s, array_to_string(ts[f + 1:f + 500], '') AS piece FROM w)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY f) - 1 AS INTEGER) AS index, CAST(s AS INTEGER) AS start_char, CAST(s + length(piece) AS INTEGER) AS end_char, {_sql_strip('piece')} AS content
+FROM p WHERE whole OR regexp_matches(piece, '[^{_W}]')""")
 def chunk_token(spark, d):
     return _chunks(spark, d, chunking.token("text", 500, 50))
 
@@ -299,6 +325,16 @@ def chunk_semantic(spark, d):
     return _chunks(spark, d, chunking.semantic("text", size=2000))
 
 
+def _letter_vectors(sentences: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding model: how often each of the letters a to z is in a sentence."""
+    return [[float(s.lower().count(chr(97 + i))) for i in range(26)] for s in sentences]
+
+
+@query()
+def chunk_semantic_embedded(spark, d):
+    return _chunks(spark, d, chunking.semantic("text", _letter_vectors, 0.7, size=2000))
+
+
 @query("""WITH n AS (SELECT *, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings)
 SELECT label, vec_id, CAST(sum(CASE WHEN before IS NOT NULL AND list_cosine_similarity(CAST(before AS DOUBLE[]), CAST(embedding AS DOUBLE[])) < 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS segment FROM n""")
 def chunk_semantic_vectors(spark, d):
@@ -508,11 +544,17 @@ def benchmark_rankings(spark, d):
     return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "config_name")))
 
 
-@query()
+@query(f"""{_JUDGED}, w AS (SELECT better_config AS config_name, count(*) AS wins FROM j WHERE better_config <> 'tie' GROUP BY 1), c AS (SELECT DISTINCT config_name, config_pos FROM l),
+b AS (SELECT c.config_name, coalesce(wins, 0) AS wins FROM c LEFT JOIN w USING (config_name) ORDER BY coalesce(wins, 0) DESC, config_pos LIMIT 1),
+av AS (SELECT config_name, round(avg(parse_time_ms), 6) AS ms, round(avg(f1), 6) AS f1 FROM ({_RESULTS}) GROUP BY 1)
+SELECT 'best' AS kind, config_name AS config, CAST(wins AS DOUBLE) AS value FROM b
+UNION ALL SELECT * FROM (SELECT 'fastest', config_name, ms FROM av ORDER BY ms, config_name LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'most_accurate', config_name, f1 FROM av WHERE f1 > 0 ORDER BY f1 DESC, config_name DESC LIMIT 1)""")
 def recommendations(spark, d):
     r = _results(spark, d)
     ranks = evaluation.config_rankings(evaluation.judge_pairs(evaluation.config_pairs(r)), r)
-    return evaluation.recommendations(evaluation.comparator_summary(r), ranks)
+    summary = evaluation.comparator_summary(r)
+    return evaluation.recommendations(summary.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in summary.dtypes]), ranks)
 
 
 @query(f"SELECT config_name, count(*) AS total, count(*) FILTER (WHERE success) AS successful, count(*) FILTER (WHERE NOT success) AS failed, round(count(*) FILTER (WHERE success) / count(*), 6) AS success_rate FROM ({_RESULTS}) GROUP BY 1")
@@ -597,7 +639,13 @@ def process_documents(spark, d):
     return p.process_text(_t(spark, d, "documents")).select("doc_id", "word_count", "char_count", F.size("chunks").alias("n_chunks"))
 
 
-@query()
+_GRID = " UNION ALL ".join(f"SELECT '{name}' AS config_name, content FROM ({sql})" for name, sql in (
+    ("sliding_500", _SLIDING), ("fixed_512", _fixed_sql(512, 50)), ("sentence_1000", _greedy_sql(_SENTENCES, " ", 1000))))
+
+
+@query(f"""SELECT config_name, count(*) AS total_chunks, CAST(sum(len({_sql_words('content')})) AS BIGINT) AS total_tokens, CAST(sum(length(content)) AS BIGINT) AS total_chars, round(avg(length(content)), 6) AS avg_chunk_size,
+CAST(min(length(content)) AS INTEGER) AS min_chunk_size, CAST(max(length(content)) AS INTEGER) AS max_chunk_size, round(stddev_pop(length(content)), 6) AS std_chunk_size,
+round(avg(CAST(regexp_matches(content, '[.!?][{_W}]*\\z') AS INTEGER)), 6) AS sentence_boundary_ratio, round(avg(CAST(regexp_matches(content, '\\n[{_W}]*\\z') AS INTEGER)), 6) AS paragraph_boundary_ratio FROM ({_GRID}) GROUP BY config_name""")
 def benchmark_grid(spark, d):
     """Chunk statistics of several configurations over all documents."""
     configs = {"sliding_500": ChunkerSettings("sliding", 500, 250), "fixed_512": ChunkerSettings("fixed", 512, 50), "sentence_1000": ChunkerSettings("sentence", 1000, 0)}
