@@ -21,35 +21,41 @@ THRESHOLD, LABELLED_ROWS = 0.3, 4000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier scores below the threshold go."""
+    """Documents that the compression classifier scores below the threshold go.
+
+    Null and empty texts score as texts without evidence; without labels all stay. Rows with a null id are scored like any other.
+    """
     model = fit(labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), LABELLED_ROWS))
     return docs.where(score(F.col("text"), model) >= THRESHOLD)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; every document stays, with the text that is left and its new length."""
+    """Repeated lines go; every document stays, with the text that is left and its new length.
+
+    A null text stays null; a null id sorts last, so its lines go first.
+    """
     out = drop_repeated_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the smallest id. Null ids and texts without words stay."""
     return drop_near_duplicates(docs, width=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a test item go."""
+    """Documents that contain a test item go. Null and empty texts contain none; null ids are treated like any other."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences: one row per piece."""
+    """What is left, packed into sequences: one row per piece. A null text is empty and gives one piece."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
 
-#: Trained scores and packing are beyond SQL; tests hold every stage against a brute-force version.
+#: Trained scores and packing are beyond SQL; tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 

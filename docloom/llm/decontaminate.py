@@ -14,7 +14,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -22,6 +21,8 @@ from pyspark.sql import functions as F
 
 K = 64
 BITS = 22
+#: Words whose hashes a Python worker keeps.
+KEPT_WORDS = 250_000
 _OTHER = re.compile(r"[\W_]+")
 M1, M2, ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -32,7 +33,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         bare = _OTHER.sub("", word.lower())
         value = (xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass")) | 1) if bare else 0
-        if len(self) > 500_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         if len(word) <= 64:
             self[word] = value
@@ -142,12 +143,15 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, n: int, block_shingles
 def _matches(text: Column, rows: list, least: float, spark) -> Column:
     shared = spark.sparkContext.broadcast([(r["item_id"], r["width"], r["shingles"]) for r in rows])
 
-    @F.pandas_udf("array<struct<item_id:long,n_item:long,n_found:long>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_found", pa.int64())]))
+
+    @F.arrow_udf("array<struct<item_id:long,n_item:long,n_found:long>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Index([dict(item_id=i, width=w, shingles=s) for i, w, s in shared.value], least)
         table = WordHashes()
         for texts in batches:
-            yield pd.Series([[dict(item_id=index.ids[i], n_item=len(index.sets[i]), n_found=f) for i, f in index.search(table.of(t))] if t else [] for t in texts.tolist()])
+            found = [index.search(table.of(t)) if (t := x.as_py()) else [] for x in texts]
+            yield pa.array([[dict(item_id=index.ids[i], n_item=len(index.sets[i]), n_found=f) for i, f in own] for own in found], kind)
 
     return run(text)
 

@@ -157,21 +157,21 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus == remainder
 
 
-def sample(df: DataFrame, key: str, about: int) -> DataFrame:
-    """About ``about`` rows, chosen by a hash of ``key``: the same on every run and for every layout."""
+def sample(df: DataFrame, keys: list[str], about: int) -> DataFrame:
+    """About ``about`` rows, chosen by a hash of ``keys``: the same on every run and for every layout."""
     n = df.count()
     share = min(1.0, about / n) if n else 1.0
-    return df.where(F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return df.where(F.pmod(F.xxhash64(F.lit("fit"), *keys), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
 def identify(docs: DataFrame, fit_rows: int = 6000, dim: int = 1024, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     The prototypes come from about ``fit_rows`` labelled documents outside the held-out fold, chosen by a hash of the
-    id; every whole text is scored. Null and letterless texts give ``und`` and 0; null labels are not learned; a null id is
+    id and text; every whole text is scored. Null and letterless texts give ``und`` and 0; null labels are not learned; a null id is
     kept and is not held out. Repeated rows are each returned. Other columns are not read. An empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = base.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull())
-    model = fit(sample(labelled, "doc_id", fit_rows), dim=dim)
+    model = fit(sample(labelled, ["doc_id", "text"], fit_rows), dim=dim)
     return base.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), language(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -26,6 +26,8 @@ _XOR = _rng.integers(0, 1 << 63, COORDS, np.uint64)
 _MUL = _rng.integers(0, 1 << 63, COORDS, np.uint64) | np.uint64(1)
 _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 4096
+#: Words whose hashes a Python worker keeps.
+KEPT_WORDS = 250_000
 #: Shingles of either block of documents of a large group that a task compares.
 BLOCK_SHINGLES = 1_000_000
 
@@ -35,7 +37,7 @@ class ByteWords(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) > 500_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         if len(word) <= 64:
             self[word] = value

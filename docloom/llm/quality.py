@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -130,13 +129,13 @@ def score(text: Column, model: Model | None, prior: float = 1.0) -> Column:
     if model is None:
         return F.lit(float(prior))
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tool = Compressors(model.good, model.bad)
         centre, scale, w = np.array(model.centre), np.array(model.scale), np.array(model.weights)
         for texts in batches:
-            f = np.array([tool.features(t) if t else model.centre for t in texts.tolist()]).reshape(-1, len(centre))
-            yield pd.Series(1 / (1 + np.exp(-np.clip((f - centre) / scale @ w[:-1] + w[-1], -30, 30))))
+            f = np.array([tool.features(t) if (t := x.as_py()) else model.centre for x in texts]).reshape(-1, len(centre))
+            yield pa.array(1 / (1 + np.exp(-np.clip((f - centre) / scale @ w[:-1] + w[-1], -30, 30))))
 
     return run(text)
 
@@ -144,7 +143,8 @@ def score(text: Column, model: Model | None, prior: float = 1.0) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, text, label) of at most ``max_rows`` labelled ids outside the held-out fold, chosen by a hash of the id.
 
-    Ids without a label or with both labels are left out. The chosen ids have that fixed bound, so they are broadcast.
+    Ids without a label or with both labels are left out; of an id that documents repeat, the text that comes first counts.
+    The chosen ids have that fixed bound, so they are broadcast.
     """
     ids = (
         labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("label")).where(F.col("i").isNotNull() & F.col("label").isin(0, 1))
@@ -152,7 +152,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: s
         .select("i", "label").orderBy(F.xxhash64(F.lit("quality"), "i"), "i").limit(max_rows)
     )
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return base.join(F.broadcast(ids), base["doc_id"] == ids["i"]).select("doc_id", "text", F.col("label").alias("quality"))
+    return base.join(F.broadcast(ids), base["doc_id"] == ids["i"]).groupBy("doc_id", F.col("label").alias("quality")).agg(F.min("text").alias("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -352,3 +352,12 @@ def test_embedding_blocks(spark, monkeypatch):
     v = g.standard_normal(16) + 0.05 * g.standard_normal((130, 16))
     got = embedding_dedup.near_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
     assert {r.n_links for r in got} == {129} and {r.component_id for r in got} == {0}
+
+
+def test_embedding_sizes(spark):
+    """Components whose squares over- or underflow, and vectors of many lengths."""
+    rows = [(i, [s * x for x in (1.0, 0.2, 0.1)]) for i, s in enumerate((1.0, 1e200, 1e-200, -1e300))]
+    rows += [(100 * n + k, [1.0 + k] * n) for n in range(4, 90) for k in range(2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(4)] == [(2, 0), (2, 0), (2, 0), (0, 3)]
+    assert all(got[100 * n + k] == (1, 100 * n) for n in range(4, 90) for k in range(2))
