@@ -12,7 +12,7 @@ from docloom.functions import clean, markup, metadata, metrics, normalize, text
 from docloom.operators import chunking, evaluation
 from docloom.plans.config import ChunkerSettings
 from docloom.plans.pipeline import Pipeline, run_benchmark
-from docloom.sources import sinks
+from docloom.sources import registry, samples, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -417,17 +417,16 @@ def seq_similarity_pairs(spark, d):
     return _pairs(spark, d).select("pair_id", metrics.sequence_similarity("reference", "candidate").alias("similarity"))
 
 
-def _search(spark, d, metric="cosine", parity=None):
+def _search(spark, d, metric="cosine"):
     e = _t(spark, d, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    corpus = e if parity is None else e.where(F.col("vec_id") % 2 == parity)
-    return evaluation.top_k(queries, corpus.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 10, metric)
+    return evaluation.top_k(queries, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 10, metric)
 
 
-def _search_sql(metric: str = "cosine", extra: str = "") -> str:
+def _search_sql(metric: str = "cosine") -> str:
     f, order = ("list_cosine_similarity", "DESC") if metric == "cosine" else ("list_distance", "ASC")
     return f"""SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, item_id) AS rank FROM
-(SELECT q.vec_id AS query_id, e.vec_id AS item_id, e.label, {f}(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 100 = 0 {extra})) WHERE rank <= 10"""
+(SELECT q.vec_id AS query_id, e.vec_id AS item_id, e.label, {f}(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 100 = 0)) WHERE rank <= 10"""
 
 
 @query(f"SELECT query_id, item_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({_search_sql()})")
@@ -481,11 +480,11 @@ def compare_embeddings(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("avg_cosine_similarity", "correlation")})
 
 
-@query(f"""WITH a AS ({_search_sql(extra='AND e.vec_id % 2 = 0')}), b AS ({_search_sql(metric='euclidean')}),
+@query(f"""WITH a AS ({_search_sql()}), b AS ({_search_sql(metric='euclidean')}),
 j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, a.rank AS ra, b.rank AS rb FROM a FULL JOIN b ON a.query_id = b.query_id AND a.item_id = b.item_id)
 SELECT query_id, round(count(ra - rb) / count(*), 6) AS agreement, round(CASE WHEN count(ra - rb) > 2 THEN 1 - 6 * sum((ra - rb) * (ra - rb)) / (count(ra - rb) * (count(ra - rb) * count(ra - rb) - 1)) END, 6) AS ranking_correlation FROM j GROUP BY query_id""")
 def compare_retrieval(spark, d):
-    a, b = _search(spark, d, parity=0), _search(spark, d, "euclidean")
+    a, b = _search(spark, d), _search(spark, d, "euclidean")
     out = evaluation.compare_retrieval(a.withColumnRenamed("item_id", "item"), b.withColumnRenamed("item_id", "item"))
     return out.withColumns({c: F.round(c, 6) for c in ("agreement", "ranking_correlation")})
 
@@ -632,6 +631,45 @@ def frontmatter(spark, d):
     return split.select("doc_id", F.col("m")["title"].alias("title"), F.col("m")["author"].alias("author"), markup.markdown_title("body").alias("heading"))
 
 
+def _sampled(spark, d, kind):
+    """Documents as files of a format, read back through the registry."""
+    read = registry.parse_files(samples.sample_files(_t(spark, d, "documents"), kind))
+    return read.select(F.regexp_extract("source_path", r"(\d+)[.]", 1).cast("long").alias("doc_id"), "doc_type", "success", "content", F.col("metadata")["title"].alias("title"), F.size("tables").alias("n_tables"))
+
+
+_LINE = "list_transform(string_split(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), chr(10)), lambda x: {0})"
+_FULL = f"list_filter({_LINE.format(_sql_strip('x'))}, lambda y: y <> '')"
+
+
+def _sampled_sql(kind: str, content: str, tables: str = "0", title: str = "source") -> str:
+    return f"SELECT doc_id, '{kind}' AS doc_type, true AS success, {content} AS content, {title} AS title, CAST({tables} AS INTEGER) AS n_tables FROM documents"
+
+
+@query(_sampled_sql("docx", f"coalesce(array_to_string(list_filter({_LINE.format('x')}, lambda y: {_sql_strip('y')} <> ''), chr(10) || chr(10)), '')", "1"))
+def parse_docx(spark, d):
+    return _sampled(spark, d, "docx")
+
+
+@query(_sampled_sql("pptx", f"array_to_string(['[Slide 1]', source, '', '---', '', '[Slide 2]'] || {_FULL} || ['', '[Notes]', source], chr(10))"))
+def parse_pptx(spark, d):
+    return _sampled(spark, d, "pptx")
+
+
+@query(_sampled_sql("xlsx", f"array_to_string(['[Sheet: lines]'] || list_transform({_LINE.format('x')}, lambda x, i: i || ' | ' || x), chr(10))", "1"))
+def parse_xlsx(spark, d):
+    return _sampled(spark, d, "xlsx")
+
+
+@query(_sampled_sql("hwpx", f"array_to_string([source] || (CASE WHEN len({_FULL}) > 0 THEN [''] ELSE [] END) || {_FULL}, chr(10))", title="CAST(NULL AS VARCHAR)"))
+def parse_hwpx(spark, d):
+    return _sampled(spark, d, "hwpx")
+
+
+@query(_sampled_sql("hwp", "coalesce(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[\\x00-\\x1f\\x{10000}-\\x{10ffff}]', '', 'g')), lambda y: " + _sql_strip("y") + " <> ''), chr(10)), '')"))
+def parse_hwp(spark, d):
+    return _sampled(spark, d, "hwp")
+
+
 @query()
 def process_documents(spark, d):
     """The whole text pipeline with its defaults: cleaning, normalisation, recursive chunks."""

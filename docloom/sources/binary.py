@@ -305,6 +305,36 @@ def hwp_records(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
+#: Numbers of the summary's properties.
+_SUMMARY = {2: "title", 3: "subject", 4: "author", 5: "keywords", 6: "comments", 8: "last_author", 9: "revision"}
+
+
+def property_set(data: bytes) -> dict[int, str | int]:
+    """Strings and whole numbers of the first section of a property set; other kinds of values are passed over."""
+    (start,) = struct.unpack_from("<I", data, 44)
+    (n,) = struct.unpack_from("<I", data, start + 4)
+    out: dict[int, str | int] = {}
+    for i in range(min(n, len(data) // 8)):
+        key, at = struct.unpack_from("<II", data, start + 8 + 8 * i)
+        kind, size = struct.unpack_from("<II", data, start + at)
+        body = data[start + at + 8 :]
+        if kind == 31:
+            out[key] = body[: 2 * size].decode("utf-16-le", "replace").rstrip("\0")
+        elif kind == 30:
+            out[key] = body[:size].decode("utf-8", "replace").rstrip("\0")
+        elif kind in (2, 3, 22, 23):
+            out[key] = size
+    return out
+
+
+def _summary(f: CompoundFile) -> dict:
+    try:
+        found = property_set(f.read("\x05HwpSummaryInformation"))
+    except (KeyError, struct.error):
+        return {}
+    return {name: found[key] for key, name in _SUMMARY.items() if found.get(key)}
+
+
 def parse_hwp(data: bytes, extract_images: bool = False) -> dict:
     f = CompoundFile(data)
     if "FileHeader" not in f.paths:
@@ -325,7 +355,7 @@ def parse_hwp(data: bytes, extract_images: bool = False) -> dict:
             raw = f.read(path)
             kind = next((k for m, k in magic.items() if raw.startswith(m)), "unknown")
             images.append({"path": path, "size": str(len(raw)), "format": kind})
-    return {"content": "\n\n".join(sections), "metadata": {"page_count": n}, "tables": [], "images": images}
+    return {"content": "\n\n".join(sections), "metadata": _summary(f) | {"page_count": n}, "tables": [], "images": images}
 
 
 def parse_pdf(data: bytes, password: str | None = None, extract_tables: bool = True, extract_images: bool = False, ocr: bool = False, ocr_language: str = "eng") -> dict:
