@@ -256,10 +256,15 @@ def sliding(c: str | Column, window: int = 1000, step: int = 500) -> Column:
     check_sizes(window, window - step)
     if not 0 < step <= window:
         raise ValueError("step must be from 1 to the window size")
-    text, n = col(c), F.length(col(c))
+    n = F.length(col(c))
     last = F.greatest(F.lit(0), F.ceil((n - window) / F.lit(step)).cast("int")) * step
-    spans = F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.struct(
-        s.alias("start_char"), F.least(s + window, n).alias("end_char"), F.substring(text, s + 1, F.lit(window)).alias("raw")))
+
+    def windows(wide: Column) -> Column:
+        # four bytes for every character, so that a window is found without a scan of what precedes it
+        return F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.struct(
+            s.alias("start_char"), F.least(s + window, n).alias("end_char"), F.decode(F.substring(wide, 4 * s + 1, F.lit(4 * window)), "UTF-32").alias("raw")))
+
+    spans = F.get(F.transform(F.array(F.encode(col(c), "UTF-32")), windows), 0)
     full = F.filter(spans, lambda x: x["raw"].rlike(NOT_WS))
     chunks = F.transform(full, lambda x, i: F.struct(i.alias("index"), x["start_char"].alias("start_char"), x["end_char"].alias("end_char"), strip(x["raw"]).alias("content")))
     return F.when(n > 0, chunks).otherwise(F.array().cast(CHUNK))

@@ -5,11 +5,16 @@ All joins are equi-joins on declared keys; rankings are windows. Vector search r
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import WS, word_count
-from docloom.functions.vector import cosine_similarity, euclidean_distance, pearson, spearman
+from docloom.functions.vector import cosine_similarity, pearson, spearman
 
 BUCKETS = (("tiny", 0, 50), ("small", 50, 200), ("medium", 200, 500), ("large", 500, 1000), ("huge", 1000, None))
 
@@ -33,23 +38,71 @@ def chunk_histogram(chunks: DataFrame, keys: list[str], content: str = "content"
         F.count_if((size >= lo) & (size < hi) if hi else size >= lo).alias(name) for name, lo, hi in BUCKETS])
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cosine", query_id: str = "query_id", query_vector: str = "query_vector", item_id: str = "item_id", vector: str = "vector", max_queries: int = 1000) -> DataFrame:
+def _scores(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarray:
+    """Rows: queries. Cosines (0 where a norm is 0), or distances over the shorter length."""
+    if metric == "cosine":
+        if queries.shape[1] != items.shape[1]:
+            raise ValueError("vectors differ in length")
+        size = np.sqrt(np.einsum("ij,ij->i", queries, queries))[:, None] * np.sqrt(np.einsum("ij,ij->i", items, items))[None]
+        return np.divide(np.einsum("qd,nd->qn", queries, items), size, out=np.zeros(size.shape), where=size > 0)
+    n = min(queries.shape[1], items.shape[1])
+    return np.stack([np.sqrt(((items[:, :n] - q[:n]) ** 2).sum(1)) for q in queries])
+
+
+def _nearest(queries: list, k: int, metric: str):
+    """Scores a block of queries against each batch of items; a partition keeps k items for each query."""
+    best = -1 if metric == "cosine" else 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[int, list[int]] = {}
+        for i, (_, v) in enumerate(queries):
+            sizes.setdefault(len(v), []).append(i)
+        matrices = {n: (own, np.array([queries[i][1] for i in own], np.float64).reshape(len(own), n)) for n, own in sizes.items()}
+        held: list[list[tuple]] = [[] for _ in queries]
+        for batch in batches:
+            ids, vectors = batch.column("item").to_pylist(), batch.column("vector").to_pylist()
+            lengths = np.array([len(v) for v in vectors])
+            for length in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == length)
+                items = np.array([vectors[i] for i in at], np.float64).reshape(len(at), length)
+                for own, matrix in matrices.values():
+                    for i, row in zip(own, _scores(matrix, items, metric) * best, strict=True):
+                        # all that tie with the k-th stay until they are ranked by id
+                        near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else range(len(row))
+                        held[i] = sorted(held[i] + [(row[j], ids[at[j]]) for j in near])[:k]
+        rows = [(i, item, s * best) for i, found in enumerate(held) for s, item in found]
+        kind = batch_kind[0]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], kind), pa.array([float(r[2]) for r in rows], pa.float64())], ["_q", "item", "score"])
+
+    batch_kind: list = [None]
+    return run, batch_kind
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cosine", query_id: str = "query_id", query_vector: str = "query_vector", item_id: str = "item_id", vector: str = "vector", max_queries: int = 1000, embed: Callable[[list[str]], list] | None = None) -> DataFrame:
     """(query_id, item_id, score, rank): the k nearest items of each query; ties go to the smaller item id.
 
-    Exact search. The queries are counted: up to ``max_queries`` are broadcast against the corpus, more go in blocks of that
-    many. A first ranking in hashed parts keeps k rows per query and part, so the final one is small.
+    Exact search: blocks of about ``max_queries`` queries meet the corpus as matrices, each task keeps k items for a query, and a
+    ranking over tasks follows. The corpus is read once for each block and never shuffled. ``embed`` turns the column
+    ``query_vector`` of texts into vectors. Null vectors find nothing and are not found.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // max_queries))
-    score = cosine_similarity if metric == "cosine" else euclidean_distance
-    best = F.desc("score") if metric == "cosine" else F.asc("score")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, spark = corpus.schema[item_id].dataType, corpus.sparkSession
+    base = corpus.select(F.col(item_id).alias("item"), F.col(vector).alias("vector")).where("vector is not null and item is not null")
+    some = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull())
+    blocks = max(1, -(-some.count() // max_queries))
+    order = [F.desc("score") if metric == "cosine" else F.asc("score"), "item"]
     out = None
     for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        pairs = corpus.join(F.broadcast(some)).select(F.col(query_id), F.col(item_id), score(query_vector, vector).alias("score"), F.pmod(F.xxhash64(item_id), F.lit(64)).alias("_part"))
-        first = Window.partitionBy(query_id, "_part").orderBy(best, item_id)
-        near = pairs.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(best, item_id))).where(F.col("rank") <= k).select(query_id, item_id, "score", "rank")
+        rows = (some if blocks == 1 else some.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)).collect()
+        vectors = embed([r[1] for r in rows]) if embed else [r[1] for r in rows]
+        run, batch_kind = _nearest([(i, list(map(float, v))) for i, v in enumerate(vectors)], k, metric)
+        batch_kind[0] = to_arrow_type(kind)
+        names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], T.StructType([T.StructField("_q", T.IntegerType()), T.StructField(query_id, queries.schema[query_id].dataType)]))
+        found = base.mapInArrow(run, T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("item", kind), T.StructField("score", T.DoubleType())]))
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("_q").orderBy(*order))).where(F.col("rank") <= k)
+        ranked = ranked.join(F.broadcast(names), "_q").select(query_id, F.col("item").alias(item_id), "score", "rank")
         out = ranked if out is None else out.unionByName(ranked)
     return out
 
@@ -184,3 +237,21 @@ def batch_totals(results: DataFrame, keys: list[str] | None = None) -> DataFrame
     return results.groupBy(*(keys or [])).agg(
         n.alias("total"), F.count_if(F.col("success")).alias("successful"), F.count_if(~F.col("success")).alias("failed"),
         F.coalesce(F.when(n > 0, F.count_if(F.col("success")) / n), F.lit(0.0)).alias("success_rate"))
+
+
+def config_details(chunks: DataFrame, config: str = "config_name", model: str = "model", text: str = "text", vector: str = "vector") -> DataFrame:
+    """(config, model, dim, num_chunks, avg_chunk_length) of each configuration's embedded chunks."""
+    return chunks.groupBy(config).agg(
+        F.max(model).alias("model"), F.max(F.size(vector)).alias("dim"), F.count(F.lit(1)).alias("num_chunks"), F.coalesce(F.avg(F.length(text)), F.lit(0.0)).alias("avg_chunk_length"))
+
+
+def embedding_report(chunks: DataFrame, config: str = "config_name", text: str = "text", vector: str = "vector", index: str = "idx") -> dict[str, DataFrame]:
+    """Tables of a report: ``configs``' details, and ``comparisons`` of every two of them. Configurations are few: their names come to the driver."""
+    names = [r[0] for r in chunks.select(config).distinct().orderBy(config).collect()]
+    of = lambda name: chunks.where(F.col(config) == name)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    out = {"config_details": config_details(chunks, config, text=text, vector=vector)}
+    parts = [compare_embeddings(of(a), of(b), text, vector, index).select(F.lit(a).alias("config_a"), F.lit(b).alias("config_b"), "*") for a, b in pairs]
+    for i, part in enumerate(parts):
+        out["comparisons"] = part if not i else out["comparisons"].unionByName(part)
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import word_count
@@ -62,16 +62,43 @@ class Pipeline:
         return self.process_files(read_files(spark, path, recursive, pattern, extensions))
 
 
+def failed_files(results: DataFrame) -> DataFrame:
+    """(source_path, error) of all failed files."""
+    return results.where("not success").select("source_path", "error")
+
+
 def batch_summary(results: DataFrame) -> DataFrame:
-    """One row: totals, success rate and the failed files' paths (the first thousand by name)."""
-    failed = results.where("not success").select("source_path").orderBy("source_path").limit(1000).agg(F.collect_list("source_path").alias("failed_files"))
-    return evaluation.batch_totals(results).join(failed)
+    """One row: totals and success rate. The files that failed are a table of their own (``failed_files``)."""
+    return evaluation.batch_totals(results)
+
 
+def notify(results: DataFrame, on_progress: Callable[[int, int, str], None] | None = None, on_error: Callable[[str, str], None] | None = None, on_complete: Callable[[Row], None] | None = None) -> int:
+    """Calls back on the driver for every processed document, and returns their number.
 
-def run_benchmark(docs: DataFrame, configs: dict[str, ChunkerSettings], clean: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(config_name, document, chunk table columns): one branch of the plan per configuration, over the same scan."""
+    ``on_progress`` gets the number so far, the total and the path; ``on_error`` the path and error of a failed one; ``on_complete`` the row of
+    any other. Rows come one partition at a time, and without ``on_complete`` only paths and errors do. ``results`` should be a written table.
+    """
+    total, done = results.count(), 0
+    columns = results if on_complete else results.select("source_path", "success", "error")
+    for done, row in enumerate(columns.toLocalIterator(prefetchPartitions=True), 1):
+        if row["success"] and on_complete:
+            on_complete(row)
+        if not row["success"] and on_error:
+            on_error(row["source_path"] or "unknown", row["error"])
+        if on_progress:
+            on_progress(done, total, row["source_path"])
+    return done
+
+
+def run_benchmark(docs: DataFrame, configs: dict[str, ChunkerSettings], clean: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text", parse: Callable[[DataFrame], DataFrame] | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(config_name, document, chunk table columns, vector with ``embed``): one branch of the plan per configuration, over the same scan.
+
+    ``parse`` makes ``docs`` (id_col, text_col) from another table first, as of files; ``embed`` makes a vector of a chunk's content.
+    """
     from docloom.operators.chunking import chunk_table
 
+    docs = parse(docs) if parse else docs
     base = docs.select(F.col(id_col).alias("document"), (clean(F.col(text_col)) if clean else F.col(text_col)).alias("_t"))
     parts = [chunk_table(base, c.column(F.col("_t")), "document").withColumn("config_name", F.lit(name)) for name, c in configs.items()]
-    return reduce(DataFrame.unionByName, parts)
+    out = reduce(DataFrame.unionByName, parts)
+    return out.withColumn("vector", embed(F.col("content"))) if embed else out

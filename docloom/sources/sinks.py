@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +14,10 @@ CSV_COLUMNS = ("id", "title", "author", "doc_type", "word_count", "char_count",
 
 
 def csv_table(docs: DataFrame, columns: Sequence[str] = CSV_COLUMNS, custom: str | None = None) -> DataFrame:
-    """The columns as strings, empty where null or unknown; the keys of the map ``custom`` follow (one distinct pass over keys)."""
+    """The columns as strings, empty where null or unknown; the keys of the map ``custom`` follow, each as a column (one distinct pass over keys)."""
     out = [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")).alias(c) for c in columns]
     if custom:
-        keys = [r[0] for r in docs.select(F.explode(F.map_keys(custom)).alias("k")).distinct().orderBy("k").limit(1001).collect()]
-        if len(keys) > 1000:
-            raise ValueError("more than 1,000 custom keys")
+        keys = [r[0] for r in docs.select(F.explode(F.map_keys(custom)).alias("k")).distinct().orderBy("k").collect()]
         out += [F.coalesce(F.col(custom)[k], F.lit("")).alias(k) for k in keys if k not in columns]
     return docs.select(*out)
 
@@ -69,6 +70,36 @@ def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> Non
     ok.unionByName(bad).write.mode(mode).text(path)
 
 
+def write_documents(docs: DataFrame, folder: str, id_col: str = "id", compact: bool = False) -> DataFrame:
+    """One file ``<id>.json`` for each row, written by the tasks; (path) of each when the result is read. A task that is run again writes the same files.
+
+    ``folder`` is a path or a URI that pyarrow knows, and that all executors share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            paths = []
+            for name, body in zip(batch.column("n").to_pylist(), batch.column("j").to_pylist(), strict=True):
+                paths.append(f"{top}/{quote(name, safe='')}.json")
+                with store.open_output_stream(paths[-1]) as f:
+                    f.write(body.encode())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    named = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("n"), json_text(F.struct(*docs.columns), not compact).alias("j"))
+    return named.mapInArrow(run, "path string")
+
+
+def write_report(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
+    """A report as one JSON object: a list of rows under each name. Reports have a row for a configuration or a pair of them."""
+    report = {name: [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).collect()] for name, df in tables.items()}
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(json.dumps(report, ensure_ascii=False),)], "value string").coalesce(1).write.mode(mode).text(path)
+
+
 def langchain_objects(rows: list) -> list:
     """Objects of the framework, if it is installed, for collected ``langchain_rows``."""
     from langchain_core.documents import Document  # optional

@@ -80,3 +80,11 @@ def test_columns(spark):
         out = c.chunk_table(docs, f("x"), "d")
         assert out.columns == ["d", "index", "start_char", "end_char", "content", "length"], name
         assert {r.d for r in out.collect()} >= {1, 2} and out.where("d in (3, 4)").count() == 0
+
+
+def test_sliding_counts_characters(spark):
+    """Letters beyond the first plane count once, and windows are cut between whole characters."""
+    text = "a😀é中" * 20
+    got = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "   ")], "d int, x string")
+    rows = c.chunk_table(got, c.sliding("x", 7, 3), "d").orderBy("d", "index").collect()
+    assert [(r.start_char, r.end_char, r.content) for r in rows] == [(s, min(s + 7, 80), text[s : s + 7]) for s in range(0, 76, 3)]

@@ -7,21 +7,22 @@ import tarfile
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom import schema
+from docloom.functions import metadata
 from docloom.functions.clean import TextCleaner
+from docloom.operators import evaluation
 from docloom.plans import config
 from docloom.plans.config import ChunkerSettings
-from docloom.plans.pipeline import Pipeline, batch_summary
-from docloom.sources import binary, registry, sinks
+from docloom.plans.pipeline import Pipeline, batch_summary, failed_files, notify, run_benchmark
+from docloom.sources import binary, registry, samples, sinks
 
 OFFICE = "http://schemas.openxmlformats.org"
 
 
-
-
 def files(parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -154,7 +155,11 @@ def test_pipeline_over_files(spark, folder):
     assert got["f.html"].content == "T\nx y" and got["g.md"].content == "H\nb" and got["h.txt"].content == "é" and got["g.md"].metadata["title"] == "M"
     assert len(got["a.docx"].chunks) == 3 and got["a.docx"].word_count == 4 and got["i.docx"].chunks in (None, [])
     s = batch_summary(out).first()
-    assert (s.total, s.successful, s.failed, s.success_rate, len(s.failed_files)) == (10, 8, 2, 0.8, 2)
+    assert (s.total, s.successful, s.failed, s.success_rate) == (10, 8, 2, 0.8)
+    assert {r.source_path.rpartition("/")[2] for r in failed_files(out).collect()} == {"i.docx", "j.xyz"}
+    seen, bad, good = [], [], []
+    assert notify(out, lambda n, total, path: seen.append((n, total)), lambda path, error: bad.append(error), lambda row: good.append(row.content)) == 10
+    assert seen == [(i, 10) for i in range(1, 11)] and len(bad) == 2 and len(good) == 8 and notify(out.where("false")) == 0
     with pytest.raises(Exception, match="no parser"):
         p.set_error_strategy("raise").process_directory(spark, folder, extensions=["xyz"]).collect()
     assert p.process_directory(spark, folder, recursive=False, pattern="*.md").count() == 0
@@ -228,3 +233,74 @@ def test_stream(spark, tmp_path):
     plan = streaming.process_stream(source, Pipeline((TextCleaner(),), ChunkerSettings("sentence", 30, 0)), "text").select("doc_id", F.explode("chunks").alias("c"))
     streaming.write_chunks(plan, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() > 1
+
+
+@pytest.mark.parametrize("kind", list(samples.KINDS))
+def test_samples_round_trip(spark, kind):
+    """Files of every binary format, short, empty and long, with letters of several scripts and marks that XML escapes."""
+    lines = ["a < b & c", "", "  \tindented", "가나 é 中文", *[f"line {i} " + "x" * (i % 90) for i in range(1500)]]
+    docs = spark.createDataFrame([(1, "\n".join(lines), "T & <t>"), (2, "", ""), (3, None, None)], "doc_id long, text string, source string")
+    got = {r.source_path: r for r in registry.parse_files(samples.sample_files(docs, kind)).collect()}
+    whole = got[f"/samples/1.{kind}"]
+    assert whole.success and whole.doc_type == kind and all(r.success for r in got.values())
+    found = iter(whole.content.split("\n"))
+    assert all(any(x.strip() in y for y in found) for x in lines if x.strip())
+    assert kind == "hwpx" or whole.metadata["title"] == "T & <t>"
+
+
+def test_summary_properties():
+    data = samples.hwp(["x"], "Title")
+    assert binary.parse_hwp(data)["metadata"] == {"title": "Title", "author": "docloom", "page_count": 1}
+    assert binary.property_set(samples._properties({2: "é", 9: "3"})) == {2: "é", 9: "3"}
+
+
+def test_writers(spark, tmp_path):
+    docs = spark.createDataFrame([("a/b", "x", 1), ("c", None, 2)], "id string, content string, n int")
+    paths = sorted(r.path for r in sinks.write_documents(docs, str(tmp_path / "out")).collect())
+    assert [p.rpartition("/")[2] for p in paths] == ["a%2Fb.json", "c.json"] and json.loads(open(paths[0]).read()) == {"id": "a/b", "content": "x", "n": 1}
+    chunks = spark.createDataFrame(
+        [("p", "m1", "one", 0, [1.0, 0.0]), ("p", "m1", "three", 1, [0.0, 1.0]), ("q", "m2", "one", 0, [1.0, 1.0])], "config_name string, model string, text string, idx int, vector array<double>")
+    report = evaluation.embedding_report(chunks)
+    details = {r.config_name: tuple(r)[1:] for r in report["config_details"].collect()}
+    assert details == {"p": ("m1", 2, 2, 4.0), "q": ("m2", 2, 1, 3.0)}
+    sinks.write_report(report, str(tmp_path / "report"))
+    whole = json.loads("".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect()))
+    assert set(whole) == {"config_details", "comparisons"} and whole["comparisons"][0]["matching_chunks"] == 1 and (whole["comparisons"][0]["config_a"], whole["comparisons"][0]["config_b"]) == ("p", "q")
+
+
+def test_update_metadata(spark):
+    kinds = "d struct<title:string,language:string,word_count:long,char_count:long,custom:map<string,string>>, e struct<title:string,language:string,word_count:long,char_count:long,keywords:array<string>,sentence_count:int,paragraph_count:int,reading_time_minutes:double>"
+    extracted = ("Found", None, 5, 20, ["k", "l"], 2, 1, 0.5)
+    rows = [((None, "en", 0, 0, None), extracted), (("Own", None, 0, 0, {"a": "b", "keywords": "old"}), ("Found", "fr", *extracted[2:]))]
+    got = [r.m for r in spark.createDataFrame(rows, kinds).select(metadata.update_document_metadata(F.col("d"), F.col("e")).alias("m")).collect()]
+    added = {"keywords": "k, l", "sentence_count": "2", "paragraph_count": "1", "reading_time_minutes": "0.5"}
+    assert tuple(got[0]) == ("Found", "en", 5, 20, added) and tuple(got[1]) == ("Own", "fr", 5, 20, {"a": "b"} | added)
+
+
+@pytest.mark.parametrize(("metric", "block"), [("cosine", 1000), ("cosine", 2), ("euclidean", 1000)])
+def test_nearest_vectors(spark, metric, block):
+    g = np.random.Generator(np.random.PCG64(3))
+    items = [(i, g.integers(-3, 4, 4).astype(float).tolist()) for i in range(300)] + [(300, [0.0] * 4), (301, None)]
+    queries = [(f"q{i}", items[i * 7][1]) for i in range(6)]
+    corpus = spark.createDataFrame(items, "item_id long, vector array<double>").repartition(5)
+    got = evaluation.top_k(spark.createDataFrame(queries, "query_id string, query_vector array<double>"), corpus, 7, metric, max_queries=block).collect()
+    for name, q in queries:
+        x = np.array([v for _, v in items[:301]])
+        norm = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
+        score = np.where(norm > 0, x @ q / np.where(norm > 0, norm, 1), 0.0) if metric == "cosine" else np.linalg.norm(x - q, axis=1)
+        want = sorted(range(301), key=lambda i: (round(-score[i] if metric == "cosine" else score[i], 9), i))[:7]
+        own = sorted((r for r in got if r.query_id == name), key=lambda r: r["rank"])
+        assert [round(r.score, 9) for r in own] == [round(score[i], 9) for i in want] and len({r.item_id for r in own}) == 7
+    texts = spark.createDataFrame([("t", "2")], "query_id string, query_vector string")
+    found = evaluation.top_k(texts, corpus, 1, embed=lambda ts: [items[int(t)][1] for t in ts]).first()
+    assert found.item_id == 2 or found.score > 0.999999
+    with pytest.raises(Exception, match="differ in length"):
+        evaluation.top_k(spark.createDataFrame([("t", [1.0])], "query_id string, query_vector array<double>"), corpus).collect()
+
+
+def test_benchmark_hooks(spark):
+    """Parse and embed functions around the benchmark's cleaning and chunking."""
+    raw = spark.createDataFrame([(1, b"ab cd"), (2, b"ef")], "doc_id long, content binary")
+    out = run_benchmark(
+        raw, {"s": ChunkerSettings("sliding", 2, 0)}, F.upper, parse=lambda df: df.select("doc_id", F.col("content").cast("string").alias("text")), embed=lambda c: F.array(F.length(c).cast("double")))
+    assert sorted((r.document, r.content, r.vector) for r in out.collect()) == [(1, "AB", [2.0]), (1, "C", [1.0]), (1, "D", [1.0]), (2, "EF", [2.0])]
