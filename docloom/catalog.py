@@ -407,9 +407,17 @@ def bleu_pairs(spark, d):
     return metrics.bleu(_pairs(spark, d), "pair_id", "reference", "candidate").withColumn("bleu", F.round("bleu", 6))
 
 
-@query()
+#: A row of the edit table per word of the reference; a running minimum stands for the steps along the row.
+_WER = f"""WITH RECURSIVE p AS ({_PAIRS}), w AS MATERIALIZED (SELECT pair_id, {_sql_words('lower(reference)')} AS r, {_sql_words('lower(candidate)')} AS h FROM p),
+e AS (SELECT pair_id, 0 AS i, CAST(generate_series(0, len(h)) AS BIGINT[]) AS t FROM w
+UNION ALL SELECT pair_id, i, list_transform(generate_series(1, len(a)), lambda j: list_min(a[1:j]) + j) FROM (SELECT pair_id, i, list_transform(b, lambda x, j: x - j) AS a FROM (
+SELECT e.pair_id, e.i + 1 AS i, [CAST(e.i + 1 AS BIGINT)] || list_transform(h, lambda x, j: least(t[j + 1] + 1, t[j] + CAST(x <> r[e.i + 1] AS BIGINT))) AS b FROM e JOIN w ON w.pair_id = e.pair_id WHERE e.i < len(r))))
+SELECT w.pair_id, CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0 ELSE 1.0 END ELSE round(t[len(h) + 1] / len(r), 6) END AS wer FROM w JOIN e ON e.pair_id = w.pair_id AND e.i = len(r)"""
+
+
+@query(_WER)
 def wer_pairs(spark, d):
-    return _pairs(spark, d).select("pair_id", metrics.word_error_rate("reference", "candidate").alias("wer"))
+    return _pairs(spark, d).select("pair_id", F.round(metrics.word_error_rate("reference", "candidate"), 6).alias("wer"))
 
 
 @query()
