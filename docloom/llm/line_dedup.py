@@ -42,7 +42,7 @@ WIDE, SAMPLE = 1024, 512
 _NONE = (1 << 31) - 1
 _ONES8 = sum(1 << (8 * i) for i in range(8))
 #: Pairs in token groups of up to so many lines are joined in one piece; larger groups in blocks of about ``BLOCK_SHINGLES``.
-LARGE, BLOCK_SHINGLES = 64, 400_000
+LARGE, BLOCK_SHINGLES = 64, 100_000
 
 
 def _units(line: Column) -> Column:
@@ -178,6 +178,8 @@ def _blocked(groups: DataFrame, texts: DataFrame, wide: DataFrame, percent: int,
     side = lambda df, x, i, j: df.select("main", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{x}_{c}") for c in ("node", "comp", "s", *WIDE_COLUMNS)])
     a, b = side(dealt.where(outside), "a", of("bi"), every("bj")), side(dealt, "b", every("bi"), of("bj"))
     once = (F.col("b_comp") == F.col("main")) | (F.col("a_node") < F.col("b_node"))
+    # dealt by hand: blocks are even, and adaptive execution would cut both sides of a large group and join all cuts with all
+    a, b = a.repartition("main", "i", "j"), b.repartition("main", "i", "j")
     linked = a.join(b, ["main", "i", "j"]).where((F.col("a_comp") != F.col("b_comp")) & once & _may_link_wide(percent) & _enough(F.col("a_s"), F.col("b_s"), percent))
     return linked.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,10 +53,12 @@ def find_spans(text: str | None) -> list[tuple[int, int, int, int]]:
             found.append((0, m.start(), m.end(), m["v"]))
     found += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)]
+    # starts in order, and how far the spans up to each of them reach
     taken = sorted((x[1], x[2]) for x in found)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for m in MIXED.finditer(text):
-        v = m[0]
-        if any(a < m.end() and m.start() < b for a, b in taken):
+        v, before = m[0], bisect_left(starts, m.end())
+        if before and reach[before - 1] > m.start():
             continue
         if re.search("[0-9]", v) and re.search("[A-Z]", v) and re.search("[a-z]", v) and entropy(v) >= 3.5:
             found.append((3, m.start(), m.end(), v))

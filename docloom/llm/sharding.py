@@ -35,12 +35,12 @@ def shard_column(key: Column, shards: int) -> Column:
     return shard(F.xxhash64(key))
 
 
-def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", parts: int = 256) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", part_rows: int = 100_000) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law ('key'), shard, slot, grown_shard.
 
     The shard depends on the id and the shard count alone. Slots are numbered without gaps from 0 in each shard:
-    rows are numbered within ``parts`` hashed parts of every shard, and the offset of each part comes from the
-    counts of the parts (shards * parts rows, a fixed bound), so no task gets a whole shard.
+    rows are numbered within hashed parts of about ``part_rows`` rows of every shard, and the offset of each part comes from the
+    counts of the parts, so no task gets a whole shard. The counts are a row for each part; Spark broadcasts them if they are small.
 
     Nulls: a null id is a key of its own; a null text counts as no text (size 16, checksum 0). Rows that repeat an
     id share a shard and get slots of their own. Other columns of ``docs``, whatever their names, are not read. An empty
@@ -53,6 +53,7 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     )
     from pyspark.sql import Window
 
+    parts = max(256, -(-docs.count() // (shards * part_rows)))
     placed = base.withColumns({
         "shard": shard_column(F.col("doc_id"), shards),
         "grown_shard": shard_column(F.col("doc_id"), shards + 1),
@@ -64,7 +65,7 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
         (F.sum("_n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
     )
     numbered = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("shard", "_part").orderBy("doc_id", "text_crc32", "size")))
-    return numbered.join(F.broadcast(before), (F.col("shard") == F.col("_s")) & (F.col("_part") == F.col("_p"))).select(
+    return numbered.join(before, (F.col("shard") == F.col("_s")) & (F.col("_part") == F.col("_p"))).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("_before") + F.col("_rn") - 1).cast("long").alias("slot"), "grown_shard",
     )
