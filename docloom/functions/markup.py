@@ -1,4 +1,4 @@
-"""Markdown and HTML as Column expressions. Markdown and href rules are native; an HTML tree needs a parser (Arrow-batched)."""
+"""Markdown and HTML as Column expressions. Markdown and href rules are native; an HTML tree needs Python (Arrow-batched)."""
 
 from __future__ import annotations
 

@@ -1 +1 @@
-"""Sources, parsers and sinks."""
+"""Sources, readers and sinks."""

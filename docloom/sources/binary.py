@@ -1,7 +1,7 @@
 """Binary document formats, read in memory from ``binaryFile`` rows. Office formats need the standard library only.
 
-Every parser takes bytes and options and returns a dict with content, metadata, tables and images. Optional libraries are
-imported when a parser runs; where one is missing the row gets an error, not the job.
+Every reader takes bytes and options and returns a dict with content, metadata, tables and images. Optional libraries are
+imported when a reader runs; where one is missing the row gets an error, not the job.
 """
 
 from __future__ import annotations

@@ -1,6 +1,6 @@
-"""Parsers by format, and tables of parsed documents from files.
+"""Readers by format, and tables of documents from files.
 
-A parser is a function of (bytes, **options) that returns a dict with content, metadata, tables and images. Files are read with
+A reader is a function of (bytes, **options) that returns a dict with content, metadata, tables and images. Files are read with
 ``binaryFile`` and parsed in ``mapInPandas``; a file that cannot be parsed is a row with ``success`` false and its error.
 """
 
@@ -24,7 +24,7 @@ Parser = Callable[..., dict]
 
 
 class ParserRegistry:
-    """Names to parsers and extensions to names. A later registration of an extension overrides an earlier one."""
+    """Names to readers and extensions to names. A later registration of an extension overrides an earlier one."""
 
     def __init__(self):
         self._parsers: dict[str, Parser] = {}
@@ -136,7 +136,7 @@ for _name, _parser, _ext in (
 
 
 def register_parser(name: str, extensions: list[str], registry: ParserRegistry = REGISTRY):
-    """Decorator that registers a parser function."""
+    """Decorator that registers a reading function."""
 
     def wrap(parser: Parser) -> Parser:
         registry.register(name, parser, extensions)

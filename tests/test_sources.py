@@ -1,4 +1,4 @@
-"""Parsers on generated files, the registry, archives, the pipeline, configuration, sinks and streams."""
+"""Readers on generated files, the registry, archives, the pipeline, configuration, sinks and streams."""
 
 import io
 import json
