@@ -361,3 +361,28 @@ def test_embedding_sizes(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert [got[i] for i in range(4)] == [(2, 0), (2, 0), (2, 0), (0, 3)]
     assert all(got[100 * n + k] == (1, 100 * n) for n in range(4, 90) for k in range(2))
+
+
+def test_very_long_texts(spark):
+    """Spans and sizes far into one text, and many of them in it."""
+    key, mixed = "AKIA" + "Q7" * 8, "aB3dE6gH9jK2mN5pQ8sT1vX4z"
+    text = " ".join(f"w{i} {key} {mixed}{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text, "s"), (2, None, None)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(docs).collect()}
+    assert got[1].n_access == 20_000 and got[1].n_owned == 20_000 and got[2].spans == ""
+    last = text.rindex(key)
+    assert f"access:{last}:{last + len(key)}" in got[1].spans
+    sizes = {r.doc_id: (r.size, r.text_crc32) for r in sharding.assign_shards(docs, 40).collect()}
+    assert sizes == {1: (len(text) + 16, zlib.crc32(text.encode())), 2: (16, 0)}
+
+
+def test_leaks_leave_odd_rows(spark):
+    """Null and empty texts and ids stay, clashing columns come through, and items in several blocks are all looked for."""
+    items = spark.createDataFrame([(i, " ".join(words(700 + i, 30))) for i in range(40)] + [(90, None), (91, " .,;")], "item_id long, text string")
+    rows = [(i, "x " * 50 + " ".join(words(700 + i, 30)), i, 1) for i in range(0, 40, 7)] + [(100, None, 1, 2), (101, "", 1, 2), (None, "some words of its own", 1, 2), (102, " ".join(words(1, 9)), 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long, shingles int")
+    for block in (2_000_000, 60):
+        kept = decontaminate.drop_leaks(docs, items, block_shingles=block)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {100, 101, 102, None}
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items, block_shingles=block).collect()) == [(i, i) for i in range(0, 40, 7)]
+    assert decontaminate.drop_leaks(docs.where("false"), items).count() == 0 and decontaminate.drop_leaks(docs, items.where("false")).count() == len(rows)
