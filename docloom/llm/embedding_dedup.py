@@ -157,8 +157,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, recall: float = 0.97, i
     met = scratch.save(full.groupBy("dim", "round", "cell", "i", "j").applyInPandas(_meet(bits, rounds, least), "vec long, links long, root long"))
     linked = connected_components(spark, met.select(F.col("vec").alias("a"), F.col("root").alias("b")), scratch)
     counts = met.groupBy("vec").agg(F.sum("links").alias("links"))
-    per_class = classes.join(counts, "vec", "left").join(linked, F.col("vec") == F.col("node"), "left").select(
-        "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec").alias("component_id"))
+    per_class = scratch.save(classes.join(counts, "vec", "left").join(linked, F.col("vec") == F.col("node"), "left").select(
+        "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec").alias("component_id")))
+    scratch.drop_all(base, per_class)
     return base.join(per_class, "embedding", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rows = signed.select("doc_id", "n", "k1", "k2").join(root, ["k1", "k2"], "left").withColumn("root", F.when(F.col("n") > 0, F.col("root")))
     rows = scratch.save(rows.select("doc_id", "n", "root"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    scratch.drop(sets, prefix, nodes)
+    scratch.drop_all(rows)
     return rows.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
