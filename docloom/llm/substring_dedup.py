@@ -273,7 +273,7 @@ def repeated_windows(base: DataFrame, scratch: Scratch, width: int) -> DataFrame
     several = scratch.save(several)
     shared = named.join(several, "name").join(spare.drop("gone"), ["rank", "th"], "left_anti").groupBy("rank", "th").agg(F.collect_list("name").alias("shared"))
     shared = scratch.save(shared)
-    found = scratch.save(base.join(shared, ["rank", "th"]).select("rank", "th", "text", "shared").mapInArrow(_candidates(width), f"rank long, th long, {WINDOWS}"))
+    found = scratch.save(base.join(shared.hint("merge"), ["rank", "th"]).select("rank", "th", "text", "shared").mapInArrow(_candidates(width), f"rank long, th long, {WINDOWS}"))
     scratch.drop(several, shared)
     lists = parsed.select("rank", "th", "values", "checks", "starts").where(F.size("values") > 0).unionByName(found)
     windows = lists.select("rank", "th", "checks", "starts", F.posexplode("values").alias("_at", "value")).select("rank", "th", "value", F.get("checks", "_at").alias("check"), F.get("starts", "_at").alias("start"))
@@ -291,7 +291,8 @@ def _cut_all(docs: DataFrame, width: int, id_col: str, text_col: str, digest: bo
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("th2"), "text")
     gone = repeated_windows(base.select("rank", "th", "th2", "text"), scratch, width)
-    joined = base.join(gone, ["rank", "th"], "left").select("doc_id", "text", "gone")
+    # what is to go grows with the corpus, so it is never broadcast: texts are shuffled once here, whatever the size
+    joined = base.join(gone.hint("merge"), ["rank", "th"], "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(_cut(width, digest), "doc_id long, n_words long, n_removed long, kept string")
 
 
