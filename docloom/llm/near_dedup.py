@@ -28,6 +28,8 @@ _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 4096
 #: Words whose hashes a Python worker keeps.
 KEPT_WORDS = 250_000
+#: Bytes of node numbers that may be broadcast to pick out their shingle sets, which are far larger.
+NODE_BYTES = 48_000_000
 #: Shingles of either block of documents of a large group that a task compares.
 BLOCK_SHINGLES = 1_000_000
 
@@ -188,7 +190,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     prefix = scratch.save(prefix)
     nodes = scratch.save(heads.join(prefix.select(F.col("node").alias("cls")).distinct(), "cls", "left_semi"))
     postings = prefix.join(nodes.select(F.col("cls").alias("node"), F.col("n").alias("size"), "bits"), "node")
-    wanted = if_small(nodes.select("cls", F.col("doc_id").alias("_d"), F.col("th").alias("_h")))
+    # the documents in question grow with the corpus, so they are never broadcast: texts are shuffled once here, whatever the size
+    wanted = nodes.select("cls", F.col("doc_id").alias("_d"), F.col("th").alias("_h")).hint("merge")
     texts = base.select("doc_id", "th", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("th").eqNullSafe(F.col("_h"))).select("cls", "text")
     sets = scratch.save(texts.mapInArrow(_sets(width), "cls long, found binary"))
     sigs = nodes.select("cls", "sig")
@@ -200,7 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         )
         seen = scratch.save(seen)
         ends = scratch.save(seen.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-        some = sets.join(if_small(ends), "cls", "left_semi")
+        some = sets.join(if_small(ends, NODE_BYTES), "cls", "left_semi")
         full = seen.join(some.select(F.col("cls").alias("a"), F.col("found").alias("fa")), "a").join(some.select(F.col("cls").alias("b"), F.col("found").alias("fb")), "b")
         return full.select("a", "b", "fa", "fb").mapInArrow(_confirm(percent), "a long, b long").distinct()
 
@@ -217,7 +220,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         all_ = dealt.select("main", "node", "comp", F.lit(False).alias("one"), numbers("bi").alias("i"), of("bj").alias("j"))
         named = lambda df: df.withColumnRenamed("cls", "node")
         some = groups.select(F.col("node").alias("cls")).distinct()
-        full = one.unionByName(all_).join(named(sigs), "node").join(named(sets.join(if_small(some), "cls", "left_semi")), "node")
+        full = one.unionByName(all_).join(named(sigs), "node").join(named(sets.join(if_small(some, NODE_BYTES), "cls", "left_semi")), "node")
         return full.groupBy("main", "i", "j").applyInArrow(_meet(percent), "a long, b long")
 
     linked = link(spark, scratch, postings, verify, may_link, dense)
