@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +35,8 @@ KEPT, FIRST = 64, 24
 #: Of the bins of two linked lines, so many agree at least (empty bins agree): four deviations below the mean.
 LEAST_BINS = math.floor(BINS * 0.8 - 4 * math.sqrt(BINS * 0.8 * 0.2))
 BLANK = " \t\r\x0b\x0c"
-#: Bits of the sketches that lines are compared by before their texts are, and about the most shingles that set them.
-WIDE, SAMPLE = 1024, 512
+#: Bits of the sketches that lines are compared by before their texts are, the most shingles that all count for them, and the deviations allowed.
+WIDE, SAMPLE, DEVIATIONS = 1024, 4096, 5
 #: Stands for the minimum of an empty bin.
 _NONE = (1 << 31) - 1
 _ONES8 = sum(1 << (8 * i) for i in range(8))
@@ -59,9 +58,9 @@ def _shingle_hashes(line: Column) -> Column:
 
     def of(units: Column) -> Column:
         last = F.greatest(F.length(units) - 2 * SHINGLE + 1, F.lit(1))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), last, F.lit(2)), lambda i: F.xxhash64(F.substring(units, i, F.lit(2 * SHINGLE)))))
+        return F.transform(F.sequence(F.lit(1), last, F.lit(2)), lambda i: F.xxhash64(F.substring(units, i, F.lit(2 * SHINGLE))))
 
-    return _once(_units(line), of)
+    return F.array_distinct(_once(_units(line), of))  # not within the lambda, where nothing is compiled
 
 
 def _enough(a: Column, b: Column, percent: int) -> Column:
@@ -93,8 +92,7 @@ def _signed(lines: DataFrame) -> DataFrame:
     cut = F.when(F.col("n") <= KEPT, F.lit((1 << 63) - 1)).otherwise((F.lit(float(-(1 << 63))) + share).cast("long"))
     kept = _hashed(units.withColumn("cut", cut), "k1", "k2", "cut").where((F.col("h") <= F.col("cut")) | (F.col("i") < FIRST))
     kept = kept.select("k1", "k2", "i", F.shiftright("h", 32).cast("int").alias("v"), F.pmod("h", F.lit(BINS)).cast("int").alias("bin"))
-    low = kept.groupBy("k1", "k2").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("copies"), *[F.min(F.when(F.col("bin") == j, F.col("v"))).alias(f"m{j}") for j in range(BINS)])
-    low = low.select("k1", "k2", "copies", *[F.coalesce(f"m{j}", F.lit(_NONE)).alias(f"m{j}") for j in range(BINS)])
+    low = kept.groupBy("k1", "k2").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("copies"), *[F.min(F.when(F.col("bin") == j, F.col("v")).otherwise(_NONE)).alias(f"m{j}") for j in range(BINS)])
     m = [F.col(f"m{j}") for j in range(BINS)]
     word = lambda w: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.shiftrightunsigned(m[8 * w + j], 5).bitwiseAND(F.lit(255)).cast("bigint"), 8 * j) for j in range(8)])
     some = lambda bins: reduce(lambda x, y: x.bitwiseAND(y), [m[j] for j in bins]) != _NONE
@@ -119,47 +117,37 @@ def _shift(x: Column, by: Column) -> Column:
 
 
 WORDS = WIDE // 64
-WIDE_COLUMNS = ["rate", "ones", *[f"w{w}" for w in range(WORDS)]]
+WIDE_COLUMNS = ["rate", "shingles", *[f"w{w}" for w in range(WORDS)]]
 
 
 def _wide(texts: DataFrame) -> DataFrame:
-    """(node, rate, w0 ...): a bit for every shingle, of long lines for one in 2 ** rate of them, chosen by its hash."""
-    dealt = texts.repartition("node").select("node", _units(F.col("line")).alias("u")).withColumn("n", F.floor(F.length("u") / 2).cast("int"))
-    dealt = dealt.withColumn("rate", F.greatest(F.ceil(F.log2(F.col("n") / SAMPLE)), F.lit(0)).cast("int"))
-    some = _hashed(dealt, "node", "rate").where(F.shiftrightunsigned("h", 40).bitwiseAND(_shift(F.lit(1), F.col("rate")) - 1) == 0)
-    at, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)).cast("int"), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63))
-    words = some.select("node", "rate", at.alias("at"), _shift(F.lit(1), bit).alias("bit")).groupBy("node", "rate", "at").agg(F.bit_or("bit").alias("bits"))
-    return words.groupBy("node").agg(F.max("rate").alias("rate"), F.sum(F.bit_count("bits")).cast("double").alias("ones"), *[F.coalesce(F.bit_or(F.when(F.col("at") == w, F.col("bits"))), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WORDS)])
-
+    """(node, rate, shingles, w0 ...): how many distinct shingles, and for each of WIDE bits whether an odd number of them has it.
 
-def _least_bits(percent: int, sampled: bool) -> list[float]:
-    """Coefficients of a polynomial: of two sketches with so many bits set, added up, the least number set in both that allows a link.
-
-    Two sets of equal size are the worst case at a similarity. Shingles that set the same bit are allowed for; the bound is
-    four deviations below the mean, those of the sample of a long line included.
+    Of lines of very many shingles one in 2 ** rate of them counts for the bits, chosen by its hash. No set is empty; a plain ``explode``
+    would put a test for that, and with it a second making of the sets, before the shuffle.
     """
-    share, points = percent / 100, []
-    for union in np.linspace(1, 1.2 * WIDE, 400).tolist():
-        either = WIDE * (1 - math.exp(-union / WIDE))
-        total = 2 * WIDE * (1 - math.exp(-union * (1 + share) / 2 / WIDE))
-        clash = WIDE * (math.exp(union / WIDE) - union / WIDE - 1) * ((1 + share) * math.exp(-union / WIDE)) ** 2
-        points.append((total, total - either - 4 * math.sqrt(clash + sampled * share * (1 - share) * union)))
-    x, y = np.array(points).T
-    fit = np.polyfit(x, y, 4)
-    fit[-1] -= max(0.0, (np.polyval(fit, x) - y).max())
-    return fit.tolist()
+    sets = texts.repartition("node").select("node", _shingle_hashes(F.col("line")).alias("s")).select("node", F.size("s").alias("shingles"), F.explode_outer("s").alias("h"))
+    dealt = sets.withColumn("rate", F.when(F.col("shingles") <= SAMPLE, 0).otherwise(F.ceil(F.log2(F.col("shingles") / SAMPLE)).cast("int")))
+    some = dealt.where(F.shiftrightunsigned("h", 40).bitwiseAND(_shift(F.lit(1), F.col("rate")) - 1) == 0)
+    at, bit = F.col("h").bitwiseAND(F.lit(WORDS - 1)).cast("int"), F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(63))
+    words = some.select("node", "rate", "shingles", at.alias("at"), _shift(F.lit(1), bit).alias("bit")).groupBy("node", "rate", "shingles", "at").agg(F.bit_xor("bit").alias("bits"))
+    return words.groupBy("node").agg(F.max("rate").alias("rate"), F.max("shingles").alias("shingles"), *[F.coalesce(F.bit_or(F.when(F.col("at") == w, F.col("bits"))), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WORDS)])
 
 
 def _may_link_wide(percent: int) -> Column:
-    """Whether the wide sketches of a pair (prefixes a_ and b_) allow a link; nearly full ones, sketches of different rates, or none, do.
+    """Whether the sizes and wide sketches of a pair (prefixes a_ and b_) allow a link; sketches of different rates, or none, do.
 
-    The expression is kept short: a generated method of more than 8,000 bytes would never be compiled.
+    Shingles that both lines have cancel out, so the bits that differ count those of one line only. Linked lines have at most the
+    share (100 - percent) / (100 + percent) of their sizes, added up, of these. The bound is ``DEVIATIONS`` above the mean for
+    so many; a sample of them varies more. The expression is kept short: a generated method of more than 8,000 bytes would never be compiled.
     """
-    total = F.col("a_ones") + F.col("b_ones")
-    both = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_w{w}").bitwiseAND(F.col(f"b_w{w}"))) for w in range(WORDS)])
-    least = lambda sampled: reduce(lambda value, c: value * total + c, _least_bits(percent, sampled), F.lit(0.0))
-    open_ = (F.col("a_rate") != F.col("b_rate")) | (total > 1.3 * WIDE)
-    return F.coalesce(open_ | (both >= F.when(F.col("a_rate") == 0, least(False)).otherwise(least(True))), F.lit(True))
+    a, b, rate = F.col("a_shingles"), F.col("b_shingles"), F.col("a_rate")
+    most = (a + b) * ((100 - percent) / (100 + percent)) / F.pow(F.lit(2.0), rate)
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_w{w}").bitwiseXOR(F.col(f"b_w{w}"))) for w in range(WORDS)])
+    even = F.exp(most * (-2 / WIDE))
+    variance = (1 - even * even) * (WIDE / 4) - F.when(rate == 0, most * even * even).otherwise(0.0)
+    near = differ <= (1 - even) * (WIDE / 2) + F.sqrt(F.greatest(variance, F.lit(0.0))) * DEVIATIONS + 1
+    return F.coalesce((100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((rate != F.col("b_rate")) | near), F.lit(True))
 
 
 def _blocked(groups: DataFrame, texts: DataFrame, wide: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -196,8 +184,9 @@ def _components(posts: DataFrame, texts: DataFrame, percent: int, scratch: Scrat
         if not sketched:
             pairs = pairs.join(bits("b"), "b", "left").join(bits("a"), "a", "left").where(_may_link_wide(percent)).select("a", "b")
         full = pairs.join(side("b"), "b").join(side("a"), "a")
-        full = full.select("a", "b", _once(F.struct(_shingle_hashes(F.col("la")).alias("a"), _shingle_hashes(F.col("lb")).alias("b")), lambda s: _enough(s["a"], s["b"], percent)).alias("ok"))
-        return full.where("ok").select("a", "b")
+        # the sets are made once: an exploded column is not substituted into the test, and unlike a lambda's it is compiled
+        full = full.select("a", "b", F.explode_outer(F.array(F.struct(_shingle_hashes(F.col("la")).alias("a"), _shingle_hashes(F.col("lb")).alias("b")))).alias("s"))
+        return full.where(_enough(F.col("s.a"), F.col("s.b"), percent)).select("a", "b")
 
     centre = posts.groupBy("token").agg(F.max(F.struct("w", "node", "lo", "hi")).alias("c")).select("token", "c.*").toDF("token", "_w", "centre", "_lo", "_hi")
     star = posts.join(centre, "token").where((F.col("node") != F.col("centre")) & _may_link(F.col("lo"), F.col("hi"), F.col("_lo"), F.col("_hi")))
