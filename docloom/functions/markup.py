@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.arrow import each
 from docloom.functions.text import WS, col, strip
 
 LINK, IMAGE = r"\[([^\]]+)\]\(([^)]+)\)", r"!\[([^\]]*)\]\(([^)]+)\)"
@@ -174,10 +174,10 @@ def parse_html(markup: str, structured: bool = False, links: bool = True, images
 
 def html(c: str | Column, **options) -> Column:
     """Struct of content, title, author, meta, links, images; see ``parse_html`` for the options. Null stays null."""
+    def one(page: str | None) -> dict:
+        if page is None:
+            return dict.fromkeys(("content", "title", "author", "meta", "links", "images"))
+        found = parse_html(page, **options)
+        return found | {"meta": list(found["meta"].items())}
 
-    @F.pandas_udf(HTML)
-    def run(pages: pd.Series) -> pd.DataFrame:
-        rows = [parse_html(x, **options) if x is not None else dict.fromkeys(("content", "title", "author", "meta", "links", "images")) for x in pages.tolist()]
-        return pd.DataFrame(rows, columns=["content", "title", "author", "meta", "links", "images"])
-
-    return run(col(c))
+    return each(col(c), HTML, one)
