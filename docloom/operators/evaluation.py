@@ -112,12 +112,31 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame
 
     ``ranked``: (query_id, item, rank from 1); ``relevant``: (query_id, item), distinct. Queries without relevant items get 0.
     """
-    hit = ranked.join(relevant.select(query_id, item).distinct().withColumn("_rel", F.lit(1)), [query_id, item], "left")
+    pairs = relevant.select(query_id, item).distinct()
+    hit = ranked.join(pairs.withColumn("_rel", F.lit(1)), [query_id, item], "left")
+    return _hit_metrics(hit, pairs.groupBy(query_id).agg(F.count(F.lit(1)).alias("_n")), queries, ks, query_id, item, cut)
+
+
+def label_retrieval_metrics(ranked: DataFrame, queries: DataFrame, items: DataFrame, label: str = "label", ks: tuple[int, ...] = (1, 5, 10), query_id: str = "query_id", item: str = "item", cut: int = 10) -> DataFrame:
+    """``retrieval_metrics`` where the relevant items of a query are those with its label; their pairs are never made.
+
+    ``queries``: (query_id, label); ``items``: (item, label). Only retrieved items are looked up, and items are counted once for each label.
+    """
+    pairs = items.select(item, label).where(F.col(label).isNotNull()).distinct()
+    own = queries.select(query_id, label).where(F.col(label).isNotNull()).distinct()
+    labels = lambda df, key, name: df.groupBy(key).agg(F.collect_set(label).alias(name))
+    hit = ranked.join(labels(own, query_id, "_own"), query_id, "left").join(labels(pairs, item, "_its"), item, "left")
+    hit = hit.withColumn("_rel", F.when(F.arrays_overlap("_own", "_its"), 1))
+    sizes = own.join(pairs.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), label).groupBy(query_id).agg(F.sum("_n").alias("_n"))
+    return _hit_metrics(hit, sizes, queries, ks, query_id, item, cut)
+
+
+def _hit_metrics(hit: DataFrame, sizes: DataFrame, queries: DataFrame, ks: tuple[int, ...], query_id: str, item: str, cut: int) -> DataFrame:
+    """``hit``: (query_id, item, rank, _rel: 1 if relevant); ``sizes``: (query_id, _n) relevant items."""
     at = lambda k: F.count_distinct(F.when((F.col("_rel") == 1) & (F.col("rank") <= k), F.col(item)))
     per = hit.groupBy(query_id).agg(
         *[at(k).alias(f"_h{k}") for k in ks], F.min(F.when(F.col("_rel") == 1, F.col("rank"))).alias("_first"),
         F.sum(F.when((F.col("_rel") == 1) & (F.col("rank") <= cut), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("_dcg"))
-    sizes = relevant.select(query_id, item).distinct().groupBy(query_id).agg(F.count(F.lit(1)).alias("_n"))
     all_ = queries.select(query_id).join(per, query_id, "left").join(sizes, query_id, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("_n"), F.lit(cut)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
