@@ -1,14 +1,17 @@
-"""Scores of one text against another. Word sets and bags are native; word alignment is not expressible and is Arrow-batched."""
+"""Scores of one text against another. Word sets and bags are native; word alignment is not expressible and is Arrow-batched, as are n-grams."""
 
 from __future__ import annotations
 
 import difflib
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.arrow import each
 from docloom.functions.text import col, words
 
 
@@ -78,31 +81,32 @@ def bag_cosine(pairs: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
     return pairs.select(id_col).join(sums.select(id_col, cosine.alias("cosine")), id_col, "left").select(id_col, F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
-    count = F.size(tokens) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), "\x1f"))
-    return F.when(count > 0, grams).otherwise(F.array().cast("array<string>"))
+def _matches(max_n: int) -> Callable[[dict], list[int]]:
+    """Clipped n-gram matches for each n of two texts, given as words with a blank between any two."""
 
+    def one(pair: dict) -> list[int]:
+        r, c = (pair[k].split(" ") if pair[k] else [] for k in ("r", "c"))
+        out = [0] * max_n
+        for n in range(1, max_n + 1):
+            x, y = (Counter(zip(*[w[i:] for i in range(n)], strict=False)) for w in (r, c))
+            out[n - 1] = sum(min(k, y[g]) for g, k in x.items() if g in y)
+            if not out[n - 1]:  # then no longer one matches either
+                break
+        return out
 
-def _tagged(grams: Column, n: int, side: int) -> Column:
-    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("side")))
+    return one
 
 
 def bleu(pairs: DataFrame, id_col: str, reference: str, candidate: str, max_n: int = 4, weights: list[float] | None = None) -> DataFrame:
-    """(id, bleu): clipped n-gram precisions and brevity penalty, without smoothing, so fewer than ``max_n`` words give 0.
+    """(id, bleu) of every pair: clipped n-gram precisions and brevity penalty, without smoothing, so fewer than ``max_n`` words give 0.
 
-    N-grams of both sides are counted in one aggregation keyed by (id, n, gram) with map-side combine; no self-join.
+    Words are split natively and their n-grams counted in Python, pair by pair: no n-gram is a row, and none is shuffled.
     """
     weights = weights or [1.0 / max_n] * max_n
-    tokens = pairs.select(F.col(id_col), _lower(reference).alias("r"), _lower(candidate).alias("c"))
-    parts = []
-    for n in range(1, max_n + 1):
-        for side, name in ((0, "r"), (1, "c")):
-            parts.append(_tagged(_ngrams(F.col(name), n), n, side))
-    grams = tokens.select(id_col, F.size("r").alias("rl"), F.size("c").alias("cl"), F.explode_outer(F.concat(*parts)).alias("x")).select(id_col, "rl", "cl", "x.*")
-    counts = grams.groupBy(id_col, "rl", "cl", "n", "g").agg(F.sum(1 - F.col("side")).alias("nr"), F.sum("side").alias("nc"))
-    exact = counts.groupBy(id_col, "rl", "cl").agg(*[
-        F.coalesce(F.sum(F.when(F.col("n") == n, F.least("nr", "nc"))), F.lit(0)).alias(f"m{n}") for n in range(1, max_n + 1)])
+    r, c = _lower(reference), _lower(candidate)
+    found = each(F.struct(F.array_join(r, " ").alias("r"), F.array_join(c, " ").alias("c")), "array<bigint>", _matches(max_n))
+    exact = pairs.select(F.col(id_col), F.size(r).alias("rl"), F.size(c).alias("cl"), found.alias("m"))
+    exact = exact.select(id_col, "rl", "cl", *[F.get("m", n - 1).alias(f"m{n}") for n in range(1, max_n + 1)])
     p = [F.col(f"m{n}") / F.greatest(F.col("cl") - n + 1, F.lit(1)) for n in range(1, max_n + 1)]
     none = F.lit(False)
     for x in p:

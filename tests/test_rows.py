@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from docloom import catalog
+from docloom.functions import metrics
 from docloom.operators import evaluation
 
 
@@ -39,3 +40,14 @@ def test_retrieval_by_label_equals_pairs(spark):
     got = rounded(evaluation.label_retrieval_metrics(ranked, queries, items.unionByName(items)))
     assert got == rounded(evaluation.retrieval_metrics(ranked, pairs, queries))
     assert any(x["mrr"] > 0 for x in got) and any(x["mrr"] == 0 for x in got)
+
+
+def test_bleu_makes_no_row_of_an_ngram(spark):
+    words = "the cat sat on the mat and the cat sat on a hat".split()
+    pairs = spark.createDataFrame([(1, " ".join(words * 20), " ".join(words * 30)), (2, "a b", "a b"), (3, "", "a b c d"), (4, None, "a"), (5, "The Cat sat on it", "the cat  sat on　it")], "i int, r string, c string")
+    out = metrics.bleu(pairs, "i", "r", "c")
+    assert most_rows(out) <= 5
+    got = {x["i"]: x["bleu"] for x in out.collect()}
+    # of n words, n - 1 pairs and so on of the candidate, those of the reference are found: it is a longer run of the same
+    assert abs(got[1] - ((260 / 390) * (259 / 389) * (258 / 388) * (257 / 387)) ** 0.25) < 1e-12
+    assert got[2] == got[3] == got[4] == 0 and got[5] == 1
