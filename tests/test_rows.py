@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from docloom import catalog
-from docloom.functions import metrics
+from docloom.functions import metadata, metrics
 from docloom.operators import evaluation
 
 
@@ -51,3 +51,16 @@ def test_bleu_makes_no_row_of_an_ngram(spark):
     # of n words, n - 1 pairs and so on of the candidate, those of the reference are found: it is a longer run of the same
     assert abs(got[1] - ((260 / 390) * (259 / 389) * (258 / 388) * (257 / 387)) ** 0.25) < 1e-12
     assert got[2] == got[3] == got[4] == 0 and got[5] == 1
+
+
+def test_keywords_make_no_row_of_a_word(spark):
+    rows = [(i, " ".join(f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst")) for i in range(20)]
+    assert most_rows(metadata.keywords(spark.createDataFrame(rows, "i long, t string"), "i", "t", 10)) <= 200
+
+
+def test_keywords_of_repeated_and_null_ids(spark):
+    rows = [("x", "one pear apple apple"), ("x", "kiwi pear cherry kiwi"), (None, "plum"), (None, "plum fig"), ("y", "the a of"), ("z", None), ("w", "")]
+    got = {(r["i"], r["keyword"]): (r["count"], r["rank"]) for r in metadata.keywords(spark.createDataFrame(rows, "i string, t string").repartition(4), "i", "t", 3).collect()}
+    assert got.pop(("x", "pear"))[0] == 2 and {got.pop(("x", w))[0] for w in ("apple", "kiwi")} == {2}
+    # of words that are as frequent, that comes first which is the earlier in any of the documents: kiwi at 0, pear at 0 after the stop word, apple at 1
+    assert got == {(None, "plum"): (2, 1), (None, "fig"): (1, 2)}
